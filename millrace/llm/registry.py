@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import ship
-from . import bpe, language, mixing, simhash, vectors
+from . import bpe, digest, html, language, lm, mixing, simhash, urls, vectors
 
 
 def _shipped(query):
@@ -21,10 +21,14 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         mixing.op1_mixing,
+        urls.op2_url_filter,
+        html.op3_html_text,
         bpe.op4_byte_bpe,
+        digest.op5_fingerprints,
         simhash.op6_simhash,
         language.op7_language,
         vectors.op8_embeddings,
+        lm.op10_lm_scores,
     )
 }
 
