@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import ship
-from . import bpe, digest, html, language, lm, mixing, simhash, urls, vectors
+from . import bpe, digest, html, language, lm, mixing, pii, simhash, urls, vectors
 
 
 def _shipped(query):
@@ -28,6 +28,7 @@ QUERIES = {
         simhash.op6_simhash,
         language.op7_language,
         vectors.op8_embeddings,
+        pii.op9_personal_data,
         lm.op10_lm_scores,
     )
 }
