@@ -1,7 +1,7 @@
 """The catalogue: every data-plane operator as a query over the standard tables, with its DuckDB form.
 
 The events table serves as a change log of its users: ordering event_id, an ``error`` deletes, anything else upserts,
-batches of a thousand events. Orders serve as an append-only log and, by simple rules on their keys, as ledger tables.
+batches of a hundred events. Orders serve as an append-only log and, by simple rules on their keys, as ledger tables.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("schema_version"),
         F.col("ts").alias("ingestion_ts"),
         F.lit("{}").alias("source_metadata_json"),
-        F.expr("event_id div 1000").alias("batch_no"),
+        F.expr("event_id div 100").alias("batch_no"),
         F.col("event_id").alias("pos"),
         F.col("user_id"),
     )
@@ -70,7 +70,7 @@ E = """E AS (SELECT 'events' AS table_id, 'file.events' AS source_id, 'database_
   CASE WHEN event_type <> 'error' THEN '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' END AS after_json,
   CAST(NULL AS VARCHAR) AS before_json, 'source_position' AS ordering_field, event_id AS ordering_value,
   'cp-' || lpad(event_id::VARCHAR, 12, '0') AS source_checkpoint, 'evt-' || event_id AS source_event_id, 1 AS schema_version,
-  ts AS ingestion_ts, '{}' AS source_metadata_json, event_id // 1000 AS batch_no, event_id AS pos, user_id FROM events)"""
+  ts AS ingestion_ts, '{}' AS source_metadata_json, event_id // 100 AS batch_no, event_id AS pos, user_id FROM events)"""
 
 LATEST = """L AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ordering_value DESC, pos DESC) AS rn FROM E) WHERE rn = 1)"""
 
@@ -166,22 +166,22 @@ def json_key_census(spark, sf_dir):
 
 # ---------------------------------------------------------------- validation
 
-#: Columns broken in turn, by event_id modulo 14.
+#: Columns broken in turn, by pos modulo 14.
 _BROKEN = {
-    "op": "CASE event_id % 14 WHEN 8 THEN 'insert' WHEN 13 THEN 'delete' ELSE op END",
-    "after_json": "CASE event_id % 14 WHEN 0 THEN '{}' WHEN 1 THEN NULL WHEN 13 THEN NULL ELSE coalesce(after_json, '{}') END",
-    "table_id": "CASE event_id % 14 WHEN 2 THEN '  ' ELSE table_id END",
-    "source_id": "CASE event_id % 14 WHEN 3 THEN '' ELSE source_id END",
-    "ordering_field": "CASE event_id % 14 WHEN 4 THEN ' ' ELSE ordering_field END",
-    "source_checkpoint": "CASE event_id % 14 WHEN 5 THEN '' ELSE source_checkpoint END",
-    "schema_version": "CASE event_id % 14 WHEN 6 THEN 0 ELSE schema_version END",
-    "source_event_id": "CASE event_id % 14 WHEN 7 THEN ' ' WHEN 12 THEN NULL ELSE source_event_id END",
-    "table_mode": "CASE event_id % 14 WHEN 9 THEN 'append_only' ELSE table_mode END",
+    "op": "CASE pos % 14 WHEN 8 THEN 'insert' WHEN 13 THEN 'delete' ELSE op END",
+    "after_json": "CASE pos % 14 WHEN 0 THEN '{}' WHEN 1 THEN NULL WHEN 13 THEN NULL ELSE coalesce(after_json, '{}') END",
+    "table_id": "CASE pos % 14 WHEN 2 THEN '  ' ELSE table_id END",
+    "source_id": "CASE pos % 14 WHEN 3 THEN '' ELSE source_id END",
+    "ordering_field": "CASE pos % 14 WHEN 4 THEN ' ' ELSE ordering_field END",
+    "source_checkpoint": "CASE pos % 14 WHEN 5 THEN '' ELSE source_checkpoint END",
+    "schema_version": "CASE pos % 14 WHEN 6 THEN 0 ELSE schema_version END",
+    "source_event_id": "CASE pos % 14 WHEN 7 THEN ' ' WHEN 12 THEN NULL ELSE source_event_id END",
+    "table_mode": "CASE pos % 14 WHEN 9 THEN 'append_only' ELSE table_mode END",
 }
 
 
 @query(
-    f"""WITH {E}, V AS (SELECT pos AS event_id, pos % 14 AS k, {', '.join(f"{v.replace('event_id', 'pos')} AS {k}" for k, v in _BROKEN.items() if k != 'op')},
+    f"""WITH {E}, V AS (SELECT pos AS event_id, pos % 14 AS k, {', '.join(f"{v} AS {k}" for k, v in _BROKEN.items() if k != 'op')},
   CASE WHEN pos % 14 = 0 THEN 'delete' WHEN pos % 14 = 8 THEN 'insert' WHEN pos % 14 = 13 THEN 'delete' ELSE 'upsert' END AS op FROM E)
   SELECT event_id, CASE WHEN op = 'delete' AND after_json IS NOT NULL THEN 'delete requires after=null' WHEN op <> 'delete' AND after_json IS NULL THEN 'insert/upsert require after payload'
   WHEN trim(table_id) = '' THEN 'table_id is required' WHEN trim(source_id) = '' THEN 'source_id is required' WHEN trim(ordering_field) = '' THEN 'ordering_field is required'
@@ -198,7 +198,7 @@ def val_first_violation(spark, sf_dir):
     broken = rows.select(
         F.col("pos").alias("event_id"),
         op.alias("op"),
-        *[F.expr(v.replace("event_id", "pos")).alias(c) for c, v in _BROKEN.items() if c != "op"],
+        *[F.expr(v).alias(c) for c, v in _BROKEN.items() if c != "op"],
         F.when(k == 10, F.array().cast("array<string>")).when(k == 11, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("user_id"))).alias("key_names"),
     )
     return broken.select("event_id", validate.first_violation().alias("violation"))
@@ -206,7 +206,7 @@ def val_first_violation(spark, sf_dir):
 
 # ---------------------------------------------------------------- normalisation
 
-_MIXED = {"table_id": "CASE WHEN batch_no % 3 = 1 AND pos % 1000 = 7 THEN 'other' ELSE table_id END", "schema_version": "CASE WHEN batch_no % 3 = 2 AND pos % 1000 = 9 THEN 2 ELSE 1 END"}
+_MIXED = {"table_id": "CASE WHEN batch_no % 3 = 1 AND pos % 100 = 7 THEN 'other' ELSE table_id END", "schema_version": "CASE WHEN batch_no % 3 = 2 AND pos % 100 = 9 THEN 2 ELSE 1 END"}
 
 
 @query(
@@ -307,10 +307,10 @@ def agg_row_totals(spark, sf_dir):
     )
 
 
-@query("SELECT batch_no, n, round(n / (span_s), 6) AS rows_per_second FROM (SELECT event_id // 1000 AS batch_no, count(*) AS n, greatest(1, epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT) AS span_s FROM events GROUP BY 1)")
+@query("SELECT batch_no, n, round(n / (span_s), 6) AS rows_per_second FROM (SELECT event_id // 100 AS batch_no, count(*) AS n, greatest(1, epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT) AS span_s FROM events GROUP BY 1)")
 def bench_throughput(spark, sf_dir):
     """AGG12, BEN3: rows by elapsed seconds of each batch."""
-    rows = table(spark, sf_dir, "events").select(F.expr("event_id div 1000").alias("batch_no"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = table(spark, sf_dir, "events").select(F.expr("event_id div 100").alias("batch_no"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     span = F.greatest(F.lit(1).cast("long"), F.round(F.max("us") / 1e6).cast("long") - F.round(F.min("us") / 1e6).cast("long"))
     return rows.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), span.alias("span_s")).select("batch_no", "n", F.round(F.col("n") / F.col("span_s"), 6).alias("rows_per_second"))
 
