@@ -106,8 +106,8 @@ def judge(pages: DataFrame, rules=RULES, most: int = LABELLED, labelled: DataFra
     """(page_id, url, host, path, rule, verdict, score): one row per input row.
 
     ``labelled`` (url, blocked) replaces the URLs that rules fit as training rows. score is the trees' chance of a block;
-    without a rule the verdict is block from 0.5 on. Null URLs and URLs without ``://`` have empty host and path and are
-    judged by the trees like others. Without training rows the score is 0.5 less a trifle and the verdict allow. Other
+    without a rule the verdict is block above 0.5. Null URLs and URLs without ``://`` have empty host and path and are
+    judged by the trees like others. Without training rows the score is 0.5 and the verdict allow. Other
     columns are ignored; repeated rows give repeated results; an empty table gives no rows.
     """
     host, path = host_and_path(F.col("url"))
@@ -129,7 +129,7 @@ def judge(pages: DataFrame, rules=RULES, most: int = LABELLED, labelled: DataFra
     kind = ruled.schema["page_id"].dataType.simpleString()
     scored = ruled.mapInArrow(run, f"page_id {kind}, url string, host string, path string, rule string, by_rule string, score double")
     return scored.select(
-        "page_id", "url", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score"
+        "page_id", "url", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score"
     )
 
 
