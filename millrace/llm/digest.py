@@ -25,11 +25,15 @@ VOTES = 16
 BITS = 2048
 HASHES = 5
 FEATURES = 160
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: c * log2(c) in whole units of 2**-20, so running sums are exact wherever they begin.
 _UNIT = 1 << 20
-_TERMS = np.array([0] + [round(c * np.log2(c) * _UNIT) for c in range(1, WINDOW + 2)], dtype=np.int64)
+_TERMS = np.array([0] + [round(c * np.log2(c) * _UNIT) for c in range(1, WINDOW + 2)], dtype=np.int32)
+_STEPS = np.diff(_TERMS, prepend=np.int32(0))  # what the c-th equal byte adds
+#: Entropy in thousandths of six bits by the window's sum in steps of 2**12.
+_FINE = 12
+_THOUSANDTHS = np.clip(np.rint((6 - ((np.arange((WINDOW * 6 * _UNIT >> _FINE) + 2) << _FINE) + (1 << _FINE - 1)) / (WINDOW * _UNIT)) / 6 * 1000), 0, 1000).astype(np.int16)
 
 
 def _ranks() -> np.ndarray:
@@ -59,39 +63,72 @@ def entropies(raw: np.ndarray) -> np.ndarray:
     after = np.ones(n, dtype=np.uint8)  # equal bytes among the 64 that start here
     before = np.ones(n, dtype=np.uint8)  # equal bytes among the 64 that end here
     for k in range(1, WINDOW):
-        same = raw[:-k] == raw[k:]
+        same = (raw[:-k] == raw[k:]).view(np.uint8)
         after[:-k] += same
         before[k:] += same
-    first = _TERMS[np.bincount(raw[:WINDOW], minlength=256)].sum()
-    leave = _TERMS[after[: n - WINDOW]] - _TERMS[after[: n - WINDOW] - 1]
-    # the entering byte is counted in the window without the byte that leaves, which its own 64 don't hold
-    enter = _TERMS[before[WINDOW:]] - _TERMS[before[WINDOW:] - 1]
-    sums = first + np.concatenate([[0], np.cumsum(enter - leave)])
-    return np.clip(np.rint((6 - sums / (WINDOW * _UNIT)) / 6 * 1000), 0, 1000).astype(np.int64)
-
-
-def features(raw: np.ndarray) -> np.ndarray:
-    """Starts of the selected windows of a byte array."""
-    if len(raw) < WINDOW:
-        return np.zeros(0, dtype=np.int64)
-    found = []
-    # pieces overlap by what a vote can reach, so the selection doesn't depend on where they are cut
-    reach = 2 * WINDOW
-    for start in range(0, len(raw) - WINDOW + 1, PIECE):
-        low, high = max(0, start - reach), min(len(raw), start + PIECE + reach + WINDOW)
-        rank = RANKS[entropies(raw[low:high])]
-        places = np.arange(len(rank), dtype=np.int64)
-        least = (rank << 32) | places
-        span = min(WINDOW, len(least))
-        step = 1
-        while step < span:
-            jump = min(step, span - step)
-            least = np.minimum(least[: len(least) - jump], least[jump:])
-            step += jump
-        votes = np.bincount(least & 0xFFFFFFFF, minlength=len(rank))
-        chosen = places[(votes >= min(VOTES, len(least))) & (rank <= 1000)] + low
-        found.append(chosen[(chosen >= start) & (chosen < start + PIECE)])
-    return np.concatenate(found)
+    first = _TERMS[np.bincount(raw[:WINDOW], minlength=256)].sum(dtype=np.int64)
+    # the entering byte's own 64 don't hold the byte that leaves, so its count is the one in the window it enters
+    change = _STEPS[before[WINDOW:]] - _STEPS[after[: n - WINDOW]]
+    sums = np.empty(n - WINDOW + 1, dtype=np.int32)
+    sums[0] = first
+    np.cumsum(change, out=sums[1:])
+    sums[1:] += np.int32(first)
+    return _THOUSANDTHS[sums >> _FINE]
+
+
+def _chosen(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Starts of the selected windows of texts laid end to end; ``ends`` are their ends, each text WINDOW bytes at least."""
+    rank = RANKS[entropies(raw)]
+    n = len(rank)
+    places = np.arange(n, dtype=np.int32)
+    least = (rank.astype(np.int32) << 21) | places
+    for step in (1, 2, 4, 8, 16, 32):
+        least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
+    # a neighbourhood of 64 windows counts if all of them lie in one text
+    whole = np.ones(len(least), dtype=bool)
+    for end in ends:
+        whole[max(0, end - 2 * WINDOW + 2) : end] = False
+    votes = np.bincount(least[whole] & ((1 << 21) - 1), minlength=n)
+    short = np.flatnonzero(np.diff(ends, prepend=0) < 2 * WINDOW - 1)  # fewer windows than a neighbourhood: one vote of all
+    for k in short:
+        start = ends[k - 1] if k else 0
+        votes[start + int(rank[start : ends[k] - WINDOW + 1].argmin())] = VOTES
+    return np.flatnonzero((votes >= VOTES) & (rank <= 1000))
+
+
+def features(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Starts of the selected windows of each byte array. Short texts are taken together, long ones in pieces."""
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(texts)
+    group: list[int] = []
+
+    def flush():
+        if group:
+            ends = np.cumsum([len(texts[i]) for i in group])
+            found = _chosen(np.concatenate([texts[i] for i in group]), ends)
+            for i, low, high in zip(group, [0, *ends[:-1]], ends):
+                out[i] = found[np.searchsorted(found, low) : np.searchsorted(found, high)] - low
+            group.clear()
+
+    held = 0
+    for i, raw in enumerate(texts):
+        if len(raw) < WINDOW:
+            continue
+        if len(raw) > PIECE:
+            # pieces overlap by what a vote can reach, so the selection doesn't depend on where they are cut
+            reach, parts = 2 * WINDOW, []
+            for start in range(0, len(raw) - WINDOW + 1, PIECE):
+                low, high = max(0, start - reach), min(len(raw), start + PIECE + reach + WINDOW)
+                found = _chosen(raw[low:high], np.array([high - low])) + low
+                parts.append(found[(found >= start) & (found < start + PIECE)])
+            out[i] = np.concatenate(parts)
+            continue
+        if held + len(raw) > PIECE:
+            flush()
+            held = 0
+        group.append(i)
+        held += len(raw)
+    flush()
+    return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -110,11 +147,19 @@ def hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str | None) -> np.ndarray:
-    """The chain of filters as bits (filters, 2048). A text too short for features is one feature itself; an empty one has none."""
-    raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
+    """The chain of filters of one text."""
+    return fingerprints([text])[0]
+
+
+def fingerprints(texts: list[str | None]) -> list[np.ndarray]:
+    """The chains of filters as bits (filters, 2048). A text too short for features is one feature itself; an empty one has none."""
+    raws = [np.frombuffer((x or "").encode("utf-8", "replace"), dtype=np.uint8) for x in texts]
+    return [_chain(raw, starts) for raw, starts in zip(raws, features(raws))]
+
+
+def _chain(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if not len(raw):
         return np.zeros((0, BITS), dtype=np.uint8)
-    starts = features(raw)
     if len(starts):
         each = hashes(raw, starts)
         _, first = np.unique(each, return_index=True)  # a feature enters once, at its first place
@@ -203,27 +248,32 @@ _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def _neighbours(batches):
     """Each row against the row after it in its bucket; the bucket's last row is only the following of the one before."""
     held = None
-    for batch in batches:
-        out = {k: [] for k in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-        for doc, text, bucket, head in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "head"))):
-            chain = fingerprint(text)
-            if held and held[2] == bucket:
-                before, own, _, whole = held
-                new = edited(own, text)
-                after = fingerprint(new) if new != own else whole
-                out["doc_id"].append(before)
-                out["n_chars"].append(len(own))
-                out["edited_sha256"].append(hashlib.sha256(new.encode("utf-8", "replace")).hexdigest())
-                out["fingerprint"].append(text_form(whole))
-                out["edited_fingerprint"].append(text_form(after))
-                out["near_edited"].append(likeness(whole, after))
-                out["near_next"].append(likeness(whole, chain))
-            held = None if head else (doc, text, bucket, chain)
-        yield pa.RecordBatch.from_pydict(
-            out,
-            pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                       ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]),
-        )
+    for whole in batches:
+        for k in range(0, whole.num_rows, 64):
+            batch = whole.slice(k, 64)
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "head"))))
+            if held:
+                rows.insert(0, held)
+            held = None if rows[-1][3] else rows[-1]
+            pairs = [(a, b) for a, b in zip(rows, rows[1:]) if a[2] == b[2] and not a[3]]
+            texts = [x[1] for x in rows]
+            new = [edited(a[1], b[1]) for a, b in pairs]
+            chains = fingerprints(texts + new)
+            of = {id(r): c for r, c in zip(rows, chains)}
+            yield _compared(pairs, new, [(of[id(a)], of[id(b)]) for a, b in pairs], chains[len(rows) :])
+
+
+def _compared(pairs, new, chains, after):
+    out = {k: [] for k in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
+    for (own, _), text, (chain, following), changed in zip(pairs, new, chains, after):
+        values = (own[0], len(own[1]), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), text_form(chain), text_form(changed), likeness(chain, changed), likeness(chain, following))
+        for k, v in zip(out, values):
+            out[k].append(v)
+    return pa.RecordBatch.from_pydict(
+        out,
+        pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+                   ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]),
+    )
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,14 +98,16 @@ def test_entropies_and_selection():
     assert all(abs(found[i] - brute_entropy(raw[i : i + 64])) <= 1 for i in range(len(found)))
     rank = digest.RANKS[found]
     votes = Counter(int(min(range(i, i + 64), key=lambda j: (rank[j], j))) for i in range(len(rank) - 63))
-    assert digest.features(raw).tolist() == sorted(i for i, n in votes.items() if n >= digest.VOTES and rank[i] <= 1000)
+    assert digest.features([raw])[0].tolist() == sorted(i for i, n in votes.items() if n >= digest.VOTES and rank[i] <= 1000)
 
 
 def test_features_do_not_depend_on_pieces(monkeypatch):
     raw = np.frombuffer(" ".join(random.Random(2).choices("alpha beta gamma delta eps".split(), k=2000)).encode(), dtype=np.uint8)
-    whole = digest.features(raw)
+    texts = [raw, raw[:63], raw[:64], raw[5:100], raw[:126], raw[:127], raw[:900], raw[300:1000], raw[:0]]
+    alone = [digest.features([x])[0].tolist() for x in texts]
+    assert [x.tolist() for x in digest.features(texts)] == alone
     monkeypatch.setattr(digest, "PIECE", 1000)
-    assert digest.features(raw).tolist() == whole.tolist()
+    assert [x.tolist() for x in digest.features(texts)] == alone
 
 
 def test_fingerprints_against_plain_neighbours(docs, edges):
