@@ -96,8 +96,7 @@ def weigh(counts: np.ndarray) -> np.ndarray:
     that the training bytes give it, the weighted prediction of the child the rest.
     """
     depths = [LEAVES, 1 << sum(CLASS_BITS[:2]), 1 << CLASS_BITS[0], 1]
-    out = np.zeros(counts.shape, dtype=np.float64)
-    symbols = np.arange(256)
+    out = np.zeros(counts.shape, dtype=np.float32)
     for level in range(8):
         split = counts.reshape(LEAVES, 1 << level, 2, 1 << (7 - level)).sum(axis=3)
         prediction = weighted = None
@@ -113,12 +112,10 @@ def weigh(counts: np.ndarray) -> np.ndarray:
             repeat = len(prediction) // size
             prediction = np.tile(share * chance, (repeat, 1)) + np.tile(1 - share, (repeat, 1)) * prediction
             weighted = np.logaddexp(own, below) - np.log(2)
-        node, bit = symbols >> (8 - level), (symbols >> (7 - level)) & 1
-        one, zero = np.log10(prediction), np.log10(1 - prediction)
-        out += np.where(bit == 1, one[:, node], zero[:, node])
-        if len(out) != len(prediction):
-            raise AssertionError("a leaf is missing")
-    return out.astype(np.float32)
+        bits = out.reshape(split.shape[:3] + (1 << (7 - level),))
+        bits[:, :, 1] += np.log10(prediction)[:, :, None]
+        bits[:, :, 0] += np.log10(1 - prediction)[:, :, None]
+    return out
 
 
 def text_score(lowered: bytes, logs: np.ndarray) -> float:
