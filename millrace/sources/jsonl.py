@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import COLUMNS, LANDED, OPERATIONS, ContractError
+from ..model import COLUMNS, OPERATIONS, ContractError
 from ..session import ship
 from .files import Files
 
@@ -110,6 +110,12 @@ _DECODED = [
 ]
 
 
+SCAN_SCHEMA = (
+    "file string, pos long, op string, key_json string, after_json string, before_json string, ordering_value long, source_checkpoint string, source_event_id string, "
+    "schema_version int, ingestion_ts timestamp_ntz, source_metadata_json string, key_names array<string>, error string"
+)
+
+
 def _decode_batches(batches):
     names = [n for n, _ in _DECODED]
     for batch in batches:
@@ -130,8 +136,7 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     ship(spark)
     lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     lines = lines.select("file", (F.col("pos") + 1).cast("long").alias("pos"), F.trim(F.regexp_replace("line", r"[\r\t]", " ")).alias("line")).filter("line <> ''")
-    schema = "file string, pos long, op string, key_json string, after_json string, before_json string, ordering_value long, source_checkpoint string, source_event_id string, schema_version int, ingestion_ts timestamp_ntz, source_metadata_json string, key_names array<string>, error string"
-    return lines.mapInArrow(_decode_batches, schema)
+    return lines.mapInArrow(_decode_batches, SCAN_SCHEMA)
 
 
 @dataclass(frozen=True)
@@ -252,7 +257,3 @@ class Session:
 
     def close(self) -> None:
         self.closed = True
-
-
-def landed_schema():
-    return LANDED

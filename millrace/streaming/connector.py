@@ -5,13 +5,13 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from ..model import ContractError
+from ..model import BatchManifest, ContractError
 from ..operators.ledger import Ledger
 from ..operators.normalize import normalize_batch
-from ..operators.sink import CommitRequest, Locator, Sink
+from ..operators.sink import CommitRequest, Locator, Outcome, Sink
 from ..operators.validate import quarantine
 from ..operators.writer import WriterConfig, materialize
-from ..sources.jsonl import Session
+from ..sources.jsonl import Batch, Session
 from .gates import Coordinator
 
 
@@ -51,44 +51,7 @@ def run_session(
             if batch is None:
                 gate.release(table)
                 break
-            _, broken = quarantine(batch.rows)
-            first = broken.orderBy("pos").select("pos", "violation").first()
-            if first:
-                raise ContractError(f"{batch.label}:{first['pos']}: {first['violation']}")
-            normal = normalize_batch(batch.rows, batch.checkpoint_end, batch.checkpoint_start)
-            manifest = materialize(normal, f"{table}.{batch.label}", staging, config)
-            gate.record_materialized(table)
-            ledger.register_batch(manifest)
-            ledger.record_files(manifest.batch_id, manifest)
-            key = f"{manifest.batch_id}:{ledger.next_attempt_no(manifest.batch_id)}"
-            prepared = sink.prepare_commit(CommitRequest(manifest.batch_id, manifest.table_mode, destination, key, manifest))
-            attempt = ledger.begin_commit(manifest.batch_id, prepared.request.destination, prepared.snapshot.snapshot_id, actor)
-            if attempt["idempotency_key"] != key:
-                raise ContractError("another writer began a commit of this batch")
-            began = time.monotonic()
-            try:
-                done = sink.commit(prepared)
-            except OSError:
-                # the commit may have happened; it is looked up before anything else is tried
-                ledger.mark_attempt_resolving(attempt["attempt_id"])
-                gate.record_unresolved(table)
-                done = settle(sink, ledger, attempt["attempt_id"], Locator(prepared.request.destination, key))
-                if done is None:
-                    raise
-            else:
-                ledger.resolve_commit(attempt["attempt_id"], "committed")
-            report.commit_seconds.append(time.monotonic() - began)
-            ledger.link_checkpoint_pending(manifest.batch_id, manifest.source_id, manifest.source_checkpoint_end, done.snapshot.snapshot_id)
-            gate.record_committed(table)
-            held = gate.checkpoint_decision(table)
-            if held:
-                raise ContractError(held)
-            session.checkpoint(manifest.source_id, manifest.source_checkpoint_end)
-            ledger.mark_checkpoint_durable(manifest.batch_id, manifest.source_id, manifest.source_checkpoint_end, done.snapshot.snapshot_id)
-            report.batches += 1
-            report.files += len(manifest.file_set)
-            report.rows += manifest.record_count
-            report.last_checkpoint = manifest.source_checkpoint_end
+            commit_batch(batch, table, sink, ledger, staging, destination, report, gate, actor, config, session.checkpoint)
     except BaseException as e:
         error = e
         raise
@@ -102,7 +65,69 @@ def run_session(
     return report
 
 
-def settle(sink: Sink, ledger: Ledger, attempt_id: str, locator: Locator):
+def commit_batch(
+    batch: Batch, table: str, sink: Sink, ledger: Ledger, staging: str, destination: str, report: RunReport, gate: Coordinator, actor: str = "millrace",
+    config: WriterConfig = WriterConfig(), acknowledge=None,
+) -> None:
+    """Check, write and commit one admitted batch, and acknowledge it once its commit is durable; counts go to ``report``."""
+    _, broken = quarantine(batch.rows)
+    first = broken.orderBy("pos").select("pos", "violation").first()
+    if first:
+        raise ContractError(f"{batch.label}:{first['pos']}: {first['violation']}")
+    normal = normalize_batch(batch.rows, batch.checkpoint_end, batch.checkpoint_start)
+    manifest = materialize(normal, f"{table}.{batch.label}", staging, config)
+    gate.record_materialized(table)
+    ledger.register_batch(manifest)
+    ledger.record_files(manifest.batch_id, manifest)
+    began = time.monotonic()
+    done = _earlier(sink, ledger, manifest.batch_id) or _attempt(sink, ledger, manifest, destination, actor, gate, table)
+    report.commit_seconds.append(time.monotonic() - began)
+    ledger.link_checkpoint_pending(manifest.batch_id, manifest.source_id, manifest.source_checkpoint_end, done.snapshot.snapshot_id)
+    gate.record_committed(table)
+    held = gate.checkpoint_decision(table)
+    if held:
+        raise ContractError(held)
+    if acknowledge:
+        acknowledge(manifest.source_id, manifest.source_checkpoint_end)
+    ledger.mark_checkpoint_durable(manifest.batch_id, manifest.source_id, manifest.source_checkpoint_end, done.snapshot.snapshot_id)
+    report.batches += 1
+    report.files += len(manifest.file_set)
+    report.rows += manifest.record_count
+    report.last_checkpoint = manifest.source_checkpoint_end
+
+
+def _earlier(sink: Sink, ledger: Ledger, batch_id: str) -> Outcome | None:
+    """What the batch's last attempt committed, if a run that ended early left one; open attempts are settled first."""
+    last = ledger.last_attempt(batch_id)
+    if last is None or last["attempt_status"] not in ("started", "resolving", "unknown", "committed"):
+        return None
+    locator = Locator(last["destination"], last["idempotency_key"])
+    if last["attempt_status"] == "committed":
+        return sink.resolve_uncertain_commit(locator)[1]
+    return settle(sink, ledger, last["attempt_id"], locator)
+
+
+def _attempt(sink: Sink, ledger: Ledger, manifest: BatchManifest, destination: str, actor: str, gate: Coordinator, table: str) -> Outcome:
+    key = f"{manifest.batch_id}:{ledger.next_attempt_no(manifest.batch_id)}"
+    prepared = sink.prepare_commit(CommitRequest(manifest.batch_id, manifest.table_mode, destination, key, manifest))
+    attempt = ledger.begin_commit(manifest.batch_id, prepared.request.destination, prepared.snapshot.snapshot_id, actor)
+    if attempt["idempotency_key"] != key:
+        raise ContractError("another writer began a commit of this batch")
+    try:
+        done = sink.commit(prepared)
+    except OSError:
+        # the commit may have happened; it is looked up before anything else is tried
+        ledger.mark_attempt_resolving(attempt["attempt_id"])
+        gate.record_unresolved(table)
+        done = settle(sink, ledger, attempt["attempt_id"], Locator(prepared.request.destination, key))
+        if done is None:
+            raise
+        return done
+    ledger.resolve_commit(attempt["attempt_id"], "committed")
+    return done
+
+
+def settle(sink: Sink, ledger: Ledger, attempt_id: str, locator: Locator) -> Outcome | None:
     """Resolve an uncertain attempt by asking the sink; the outcome if it was committed."""
     verdict, done = sink.resolve_uncertain_commit(locator)
     ledger.resolve_commit(attempt_id, {"committed": "committed", "not_committed": "failed_retryable", "ambiguous": "ambiguous"}[verdict])

@@ -294,6 +294,19 @@ def test_keyed_run_and_final_state(spark, workload, tmp_path):
     assert [(r["key_json"], r["after_json"]) for r in state.collect()] == [('{"customer_id":"c1","tenant_id":"t"}', '{"status":"inactive"}')]
 
 
+def test_run_that_ended_after_its_commit_does_not_commit_again(spark, workload, tmp_path):
+    source = jsonl.FileSource(spark, f"file://{workload}/orders_events")
+    choice = jsonl.Selection("orders_events", "orders_events", "append_only")
+    sink, ledger = MemorySink(), Ledger()
+    session = source.open_capture(choice)
+    session.checkpoint = lambda *_: (_ for _ in ()).throw(RuntimeError("process ends"))
+    with pytest.raises(RuntimeError):
+        run_session(session, sink, ledger, f"file://{tmp_path}/staging", "mem", 1)
+    assert ledger.last_durable_checkpoint("orders_events") is None and len(sink.commits) == 1
+    report = run_session(source.open_capture(choice), sink, ledger, f"file://{tmp_path}/staging", "mem")
+    assert report.batches == 2 and len(sink.commits) == 2
+
+
 def test_gates():
     gate = Coordinator()
     assert gate.try_admit("a") is None and gate.try_admit("a") == "table budget exhausted" and gate.try_admit("b") is None
@@ -365,3 +378,35 @@ def test_env_and_versions(tmp_path):
         C.load("source", tmp_path / "x.toml")
     with pytest.raises(ContractError):
         C.config_root(tmp_path / "x.toml")
+
+
+# ---- streams
+
+
+def test_stream_commits_files_in_name_order(spark, workload, tmp_path):
+    from millrace.streaming import stream
+
+    folder = workload / "orders_events"
+    source = jsonl.FileSource(spark, f"file://{folder}")
+    choice = jsonl.Selection("orders_events", "orders_events", "append_only")
+    sink, path = MemorySink(), str(tmp_path / "ledger.sqlite")
+    for expected in (2, 1):
+        query, report = stream.start(spark, source, choice, sink, path, f"file://{tmp_path}/staging", "mem", f"file://{tmp_path}/checkpoint", {"availableNow": True})
+        assert query.awaitTermination(120) and query.exception() is None
+        assert report.batches == expected
+        (folder / "batch-0003.jsonl").write_text(json.dumps(record(14, after={"a": 1})))
+    ledger = Ledger(path)
+    assert ledger.last_durable_checkpoint("orders_events")[1] == "cp-0014" and len(sink.commits) == 3
+
+
+def test_late_changes_across_batches(spark, tmp_path):
+    from millrace.streaming import stream
+
+    folder = tmp_path / "late"
+    folder.mkdir()
+    for name, orderings in (("batch-0001.jsonl", (1, 5)), ("batch-0002.jsonl", (3, 7))):
+        (folder / name).write_text("\n".join(json.dumps(record(o, "upsert", {"id": 1}, {"v": o})) for o in orderings))
+    late = stream.late_changes(stream.change_stream(spark, f"file://{folder}").select("file", "pos", "key_json", "ordering_value"))
+    query = late.writeStream.format("memory").queryName("late_rows").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/late-cp").start()
+    assert query.awaitTermination(120)
+    assert [tuple(r) for r in spark.table("late_rows").collect()] == [('{"id":1}', 3, 5)]
