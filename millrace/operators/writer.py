@@ -16,6 +16,9 @@ from .aggregate import fingerprint_parts
 from .normalize import Normalized
 
 
+HASHED_ROWS = 50_000
+
+
 @dataclass(frozen=True)
 class WriterConfig:
     file_bytes: int = FILE_BYTES
@@ -62,7 +65,9 @@ def materialize(batch: Normalized, label: str | None, folder: str, config: Write
         signature = mutation_signature()
         stats = rows.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(signature).cast("long")).alias("bytes")).collect()
         n, size = sum(r["n"] for r in stats), sum(r["bytes"] for r in stats)
-        content = rows.select(F.pmod(F.xxhash64("key_json", "ordering_value"), F.lit(256)).alias("part"), fnv1a64(signature.cast("binary")).alias("d"))
+        # parts of about HASHED_ROWS rows, whatever the batch's size
+        part = F.pmod(F.xxhash64("key_json", "ordering_value"), F.lit(-(-n // HASHED_ROWS)))
+        content = rows.select(part.alias("part"), fnv1a64(signature.cast("binary")).alias("d"))
         parts = content.groupBy("part").agg(stable_hash_array(F.array_sort(F.collect_list("d"))).alias("h")).collect()
         content_hash = stable_hash_text(*sorted(r["h"] for r in parts))
         found = fingerprint_parts(rows, ["table_id"]).first()
