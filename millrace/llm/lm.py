@@ -1,10 +1,11 @@
 """Language-model scores: context-tree weighting over binary-decomposed byte contexts, and a unigram base score.
 
-Each byte is eight binary decisions. Every decision has its own context tree over the bytes before it. Each node holds
-a Krichevsky-Trofimov estimator, and the weighting mixes the estimators of all depths by how well each explained the
-training bytes. A tree branches on fixed classes of the preceding bytes, finer for nearer bytes (CLASS_BITS), so its
-size has a bound that doesn't depend on the corpus: 2**15 leaves of 256 counts. The counts themselves are taken over
-every training byte of the corpus. Scores use the trained, frozen trees; a text ends with an end symbol of its own.
+Each byte is eight binary decisions. Every decision has its own context tree over the DEPTH bytes before it. Each node
+holds a Krichevsky-Trofimov estimator, and the weighting mixes the estimators of all depths by how well each explained
+the training bytes. The counts are taken over every training byte of the corpus. A context is a node of the trees if it
+holds at least 1/CONTEXTS of all training bytes, so a depth has no more than CONTEXTS nodes however large the corpus is;
+the bytes after a node's other contexts form one more leaf below it. Scores use the trained, frozen trees. A text begins
+after DEPTH zero bytes and ends with an end symbol of its own.
 
 Word counts of the base score follow the vocabulary and stay distributed. Only words with at least 1/FREQUENT of all
 training tokens, of which there can be no more than FREQUENT, go to every worker; the others are looked up by a join.
@@ -23,49 +24,27 @@ from pyspark.sql import functions as F
 
 from .common import durable, table
 
-CLASS_BITS = (6, 5, 4)
-LEAVES = 1 << sum(CLASS_BITS)
+DEPTH = 5
+CONTEXTS = 1 << 16
 END = 255  # never a byte of UTF-8
 FREQUENT = 1 << 18
 PIECE = 1 << 20
 WORD, CONTEXT, LAST = 0, 1, 2
 
 
-def _classes() -> list[np.ndarray]:
-    """Class of each byte for the nearest, second and third byte before; class 0 is the text's start and control bytes."""
-    near = np.zeros(256, dtype=np.uint32)
-    near[97:123] = np.arange(1, 27)
-    near[[9, 10, 13]], near[32], near[48:58] = 28, 27, 29
-    near[[44, 46, 33, 63, 58, 59]] = 30
-    other = [b for b in range(33, 127) if near[b] == 0]
-    near[other] = 31
-    near[128:192] = 32 + (np.arange(64) >> 2)
-    near[192:256] = 48 + (np.arange(64) >> 2)
-    second = near.copy()
-    second[(near >= 28) & (near < 32)] = 28
-    second[128:160], second[160:192], second[192:256] = 29, 30, 31
-    third = np.zeros(256, dtype=np.uint32)
-    for group, members in enumerate(("a", "e", "i", "o", "u", "n", "t", "s", "r", "dl", "h", "bcfgjkmpqvwxyz"), 1):
-        third[[ord(c) for c in members]] = group
-    third[[9, 10, 13, 32]] = 13
-    third[(near >= 29) & (near < 32)] = 14
-    third[128:256] = 15
-    return [near, second << np.uint32(6), third << np.uint32(11)]
-
-
-CLASSES = _classes()
-
-
-def cells(lowered: bytes):
-    """For each byte of the text and its end symbol the cell (leaf context, byte), in bounded pieces."""
-    raw = np.frombuffer(lowered + bytes([END]), dtype=np.uint8)
-    for start in range(0, len(raw), PIECE):
-        part = raw[max(0, start - 3) : start + PIECE]
-        skip = min(start, 3)
-        leaf = np.zeros(len(part), dtype=np.uint32)
-        for distance, classes in enumerate(CLASSES, 1):
-            leaf[distance:] += classes[part[:-distance]]
-        yield (leaf[skip:] << np.uint32(8)) | part[skip:]
+def pieces(lowered: bytes):
+    """The padded text with its end symbol in pieces, each led by the DEPTH bytes before it."""
+    raw = np.frombuffer(bytes(DEPTH) + lowered + bytes([END]), dtype=np.uint8)
+    for start in range(DEPTH, len(raw), PIECE):
+        yield raw[start - DEPTH : start + PIECE]
+
+
+def cells(part: np.ndarray) -> np.ndarray:
+    """For each byte of a piece the byte and those before it as one number, the nearest in the next higher bits."""
+    key = part[DEPTH:].astype(np.uint64)
+    for d in range(1, DEPTH + 1):
+        key |= part[DEPTH - d : len(part) - d].astype(np.uint64) << np.uint64(8 * d)
+    return key
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -88,42 +67,97 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
-def weigh(counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte in each leaf context (LEAVES, 256) from the counts of the same shape.
+class Trees:
+    """The weighted trees: for each node a row of log10 probabilities of bytes, and its children by the next byte back.
 
-    Depth 0 is the root, depth 3 a leaf. A node's weighted probability is half its own estimate plus half the product of
-    its children's. A decision in a leaf is predicted along its path: at each node the node's estimate gets the share
-    that the training bytes give it, the weighted prediction of the child the rest.
+    ``counts`` holds for each depth the sorted contexts that are nodes (as in ``cells``, without the lowest byte) and a
+    matrix of counts of the bytes after them. A row is that of the leaf in which a context ends whose longest suffix
+    among the nodes is the row's node.
     """
-    depths = [LEAVES, 1 << sum(CLASS_BITS[:2]), 1 << CLASS_BITS[0], 1]
-    out = np.zeros(counts.shape, dtype=np.float32)
-    for level in range(8):
-        split = counts.reshape(LEAVES, 1 << level, 2, 1 << (7 - level)).sum(axis=3)
-        prediction = weighted = None
-        for size in depths:
-            at = split.reshape(-1, size, 1 << level, 2).sum(axis=0)
-            zeros, ones = at[..., 0], at[..., 1]
-            own, chance = log_kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1.0)
-            if prediction is None:
-                prediction, weighted = chance, own
-                continue
-            below = weighted.reshape(-1, size, 1 << level).sum(axis=0)
-            share = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-            repeat = len(prediction) // size
-            prediction = np.tile(share * chance, (repeat, 1)) + np.tile(1 - share, (repeat, 1)) * prediction
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+        parents = [None] + [
+            np.searchsorted(counts[d - 1][0], counts[d][0] & np.uint64((1 << 8 * (d - 1)) - 1)) for d in range(1, len(counts))
+        ]
+        sizes = [len(ids) for ids, _ in counts]
+        first = np.cumsum([0, *sizes])
+        self.logs = np.zeros((first[-1], 256), dtype=np.float32)
+        self.child = np.zeros((first[-1], 256), dtype=np.int32)  # 0, the root, is nobody's child: none
+        for d in range(1, len(counts)):
+            back = (counts[d][0] >> np.uint64(8 * (d - 1))).astype(np.int64) & 255
+            self.child[first[d - 1] + parents[d], back] = first[d] + np.arange(sizes[d])
+        for level in range(8):
+            self._weigh(level, [m.reshape(len(m), 1 << level, 2, 1 << 7 - level).sum(axis=3) for _, m in counts], parents, first)
+
+    def _weigh(self, level: int, split: list[np.ndarray], parents: list, first: np.ndarray) -> None:
+        """Add the decisions of one bit. A node's weighted probability is half its own estimate and half the product of
+        its children's, its rest being one of them. Below, a node's estimate gets the share that the training bytes give it."""
+        last = len(split) - 1
+        shares, rests, weighted = [None] * last, [None] * last, log_kt(split[last][..., 0], split[last][..., 1])
+        for d in range(last - 1, -1, -1):
+            own, rest = log_kt(split[d][..., 0], split[d][..., 1]), split[d].copy()
+            np.subtract.at(rest, parents[d + 1], split[d + 1])
+            below = log_kt(rest[..., 0], rest[..., 1])
+            np.add.at(below, parents[d + 1], weighted)
+            shares[d], rests[d] = 1 / (1 + np.exp(np.clip(below - own, -700, 700))), rest
             weighted = np.logaddexp(own, below) - np.log(2)
-        bits = out.reshape(split.shape[:3] + (1 << (7 - level),))
-        bits[:, :, 1] += np.log10(prediction)[:, :, None]
-        bits[:, :, 0] += np.log10(1 - prediction)[:, :, None]
+        given, left = np.zeros((1, 1 << level)), np.ones((1, 1 << level))  # a prediction is given + left * that below
+        for d in range(last + 1):
+            if d:
+                given, left = given[parents[d]], left[parents[d]]
+            leaf = split[d]
+            if d < last:
+                given = given + left * shares[d] * chance(split[d])
+                left, leaf = left * (1 - shares[d]), rests[d]
+            p = given + left * chance(leaf)
+            rows = self.logs[first[d] : first[d + 1]].reshape(len(p), 1 << level, 2, 1 << 7 - level)
+            rows[:, :, 1] += np.log10(p)[:, :, None]
+            rows[:, :, 0] += np.log10(1 - p)[:, :, None]
+
+    def score(self, lowered: bytes) -> float:
+        """log10 probability of a lower-cased text with its end symbol."""
+        logs, child, total = self.logs.reshape(-1), self.child.reshape(-1), 0.0
+        for part in pieces(lowered):
+            node = np.zeros(len(part), dtype=np.int64)
+            at = np.arange(DEPTH, len(part))
+            for d in range(1, DEPTH + 1):
+                step = child[node[at] << 8 | part[at - d]]
+                deeper = step > 0
+                at = at[deeper]
+                node[at] = step[deeper]
+            total += float(logs[node[DEPTH:] << 8 | part[DEPTH:]].sum(dtype=np.float64))
+        return total
+
+
+def chance(split: np.ndarray) -> np.ndarray:
+    """The estimate of a one from counts of zeros and ones."""
+    return (split[..., 1] + 0.5) / (split[..., 0] + split[..., 1] + 1.0)
+
+
+def tree_counts(counts: DataFrame, total: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each depth the contexts with at least 1/CONTEXTS of ``total`` bytes and the counts of the bytes after them.
+
+    ``counts`` (key, n) are cells of full depth. Their sums over shorter contexts are taken where they lie; only rows of
+    nodes reach the driver: 256 for each of at most CONTEXTS nodes of a depth.
+    """
+    shorter = counts.select(F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("d"), "key", "n")
+    kept = F.col("key").bitwiseAND(F.expr("shiftleft(1L, 8 * (d + 1)) - 1"))
+    sums = durable(shorter.groupBy("d", kept.alias("cell")).agg(F.sum("n").alias("n")))
+    nodes = sums.groupBy("d", F.expr("shiftright(cell, 8)").alias("context")).agg(F.sum("n").alias("t")).filter(F.col("t") * CONTEXTS >= total)
+    rows = sums.withColumn("context", F.expr("shiftright(cell, 8)")).join(F.broadcast(nodes.select("d", "context")), ["d", "context"]).select("d", "cell", "n").toArrow()
+    depth, cell, n = (rows.column(c).to_numpy() for c in ("d", "cell", "n"))
+    out = []
+    for d in range(DEPTH + 1):
+        own = cell[depth == d].astype(np.uint64)
+        ids, place = np.unique(own >> np.uint64(8), return_inverse=True)
+        if not d and not len(ids):
+            ids = np.zeros(1, dtype=np.uint64)
+        matrix = np.zeros((len(ids), 256))
+        matrix[place, (own & np.uint64(255)).astype(np.int64)] = n[depth == d]
+        out.append((ids, matrix))
     return out
 
 
-def text_score(lowered: bytes, logs: np.ndarray) -> float:
-    """log10 probability of a lower-cased text with its end symbol."""
-    flat = logs.reshape(-1)
-    return float(sum(flat.take(x).sum(dtype=np.float64) for x in cells(lowered)))
-
-
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
@@ -137,7 +171,7 @@ def count(training: DataFrame, most_words: int = 300_000) -> DataFrame:
 
     def run(batches):
         words: Counter = Counter()
-        contexts, waiting, held, ends = np.zeros(LEAVES << 8, dtype=np.int64), [], 0, 0
+        sums, waiting, held, ends = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0, 0
 
         def rows(kind, keys, numbers):
             return pa.RecordBatch.from_arrays(
@@ -151,24 +185,33 @@ def count(training: DataFrame, most_words: int = 300_000) -> DataFrame:
             for k in range(0, len(keys), 50_000):
                 yield rows(WORD, keys[k : k + 50_000], numbers[k : k + 50_000])
 
+        def gather():
+            key, n = np.unique(np.concatenate(waiting), return_counts=True)
+            every, place = np.unique(np.concatenate([sums[0], key]), return_inverse=True)
+            return every, np.bincount(place, np.concatenate([sums[1], n]), len(every)).astype(np.int64)
+
+        def emit_cells():
+            for k in range(0, len(sums[0]), 50_000):
+                yield rows(CONTEXT, sums[0][k : k + 50_000].astype(np.int64), sums[1][k : k + 50_000])
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 lowered, ends = _lowered(text), ends + 1
                 words.update(lowered.split())
                 if len(words) > most_words:
                     yield from emit()
-                for x in cells(lowered):
-                    waiting.append(x)
-                    held += len(x)
+                for part in pieces(lowered):
+                    waiting.append(cells(part))
+                    held += len(part)
                     if held > 4 * PIECE:
-                        contexts += np.bincount(np.concatenate(waiting), minlength=LEAVES << 8)
-                        waiting, held = [], 0
+                        sums, waiting, held = gather(), [], 0
+                        if len(sums[0]) > 2 * PIECE:
+                            yield from emit_cells()
+                            sums = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         if held:
-            contexts += np.bincount(np.concatenate(waiting), minlength=LEAVES << 8)
+            sums = gather()
         yield from emit()
-        used = np.flatnonzero(contexts)
-        for k in range(0, len(used), 50_000):
-            yield rows(CONTEXT, used[k : k + 50_000], contexts[used[k : k + 50_000]])
+        yield from emit_cells()
         if ends:
             yield rows(LAST, [0], [ends])
 
@@ -189,18 +232,15 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     tokens = ends + (total[WORD]["n"] if WORD in total else 0)
     distinct = (1 if ends else 0) + (total[WORD]["v"] if WORD in total else 0)
 
-    grid = np.zeros(LEAVES << 8, dtype=np.int64)  # at most LEAVES * 256 rows
-    found = counts.filter(F.col("kind") == CONTEXT).select("key", "n").toArrow()
-    grid[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    logs = weigh(grid.reshape(LEAVES, 256))
+    contexts = total[CONTEXT]["n"] if CONTEXT in total else 0
+    trees = Trees(tree_counts(counts.filter(F.col("kind") == CONTEXT).select("key", "n"), contexts))
     frequent = counts.filter((F.col("kind") == WORD) & (F.col("n") * FREQUENT >= tokens)).select("key", "n").toArrow()
     known = dict(zip(frequent.column("key").to_pylist(), frequent.column("n").to_pylist()))
-    del grid, found, frequent
-    shared = spark.sparkContext.broadcast((logs, known))
+    shared = spark.sparkContext.broadcast((trees, known))
     last = float(np.log10(ends + 0.5))
 
     def run(batches):
-        logs, known = shared.value
+        trees, known = shared.value
         value = {k: float(np.log10(n + 0.5)) for k, n in known.items()}
         names: dict[bytes, int] = {}
 
@@ -233,7 +273,7 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
                     more = len(keys) - before
                     ids += [doc] * more
                     marks += [mark] * more
-                    stats.append({"n": n, "known": seen, "base": base, "score": text_score(lowered, logs), "bytes": len(lowered)})
+                    stats.append({"n": n, "known": seen, "base": base, "score": trees.score(lowered), "bytes": len(lowered)})
                     stats += [None] * (more - 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(stats, _STATS)],

@@ -326,63 +326,81 @@ def test_model_scores_are_probabilities_and_learn(docs):
     assert np.mean([r["bits_per_byte"] for r in got]) < 4
 
 
-def test_trees_against_a_plain_recursion(monkeypatch):
-    rng = np.random.default_rng(0)
-    leaves = rng.choice(lm.LEAVES, 30, replace=False)
-    counts = np.zeros((lm.LEAVES, 256), dtype=np.int64)
-    counts[leaves[:, None], rng.integers(0, 256, (30, 12))] += rng.integers(1, 9, (30, 12))
-    logs = lm.weigh(counts)
-    assert np.allclose((10.0 ** logs.astype(float)).sum(axis=1), 1, atol=1e-4)
+def test_trees_against_a_plain_recursion(spark, monkeypatch):
+    monkeypatch.setattr(lm, "DEPTH", 2)
+    monkeypatch.setattr(lm, "CONTEXTS", 40)
+    text = b"abracadabra abba cab " * 9 + b"xyz"
+    cells = np.concatenate([lm.cells(p) for p in lm.pieces(text)]).astype(np.int64)
+    keys, n = np.unique(cells, return_counts=True)
+    frame = spark.createDataFrame(list(zip(keys.tolist(), n.tolist())), "key long, n long")
+    trees = lm.Trees(lm.tree_counts(frame, len(cells)))
+    assert np.allclose((10.0 ** trees.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+    padded = bytes(2) + text + b"\xff"
+    after = [(padded[i - 1 :: -1][:2], padded[i]) for i in range(2, len(padded))]  # bytes before, nearest first
+
+    def symbols(context):
+        return [x for before, x in after if before[: len(context)] == context]
+
+    def kids(context):
+        return [c for c in {before[: len(context) + 1] for before, _ in after if before[: len(context)] == context} if len(symbols(c)) * 40 >= len(after)] if len(context) < 2 else []
+
+    def ab(some, prefix, level):
+        bits = [x >> (7 - level) & 1 for x in some if x >> (8 - level) == prefix]
+        return bits.count(0), bits.count(1)
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    sizes = [1, 1 << 6, 1 << 11, 1 << 15]
-
-    def plain(leaf, byte):
-        total = 0.0
-        for level in range(8):
-            prefix, bit = byte >> (8 - level), byte >> (7 - level) & 1
-
-            def ab(size, context):
-                part = counts[context::size].sum(axis=0)
-                low = prefix << (8 - level)
-                half = 1 << (7 - level)
-                return part[low : low + half].sum(), part[low + half : low + 2 * half].sum()
-
-            def weighted(depth, context):
-                own = kt(*ab(sizes[depth], context))
-                if depth == 3:
-                    return own
-                seen = {int(x) % sizes[depth + 1] for x in leaves if int(x) % sizes[depth] == context}
-                return np.logaddexp(own, sum(weighted(depth + 1, c) for c in seen)) - math.log(2)
-
-            p = None
-            for depth in (3, 2, 1, 0):
-                context = leaf % sizes[depth]
-                a, b = ab(sizes[depth], context)
-                chance = ((b if bit else a) + 0.5) / (a + b + 1)
-                if p is None:
-                    p = chance
-                else:
-                    seen = {int(x) % sizes[depth + 1] for x in leaves if int(x) % sizes[depth] == context}
-                    below = sum(weighted(depth + 1, c) for c in seen)
-                    # empty subtrees have probability one and halve nothing: ln 1/2 + 1/2
-                    share = 1 / (1 + math.exp(below - kt(a, b)))
-                    p = share * chance + (1 - share) * p
-            total += math.log10(p)
+    def rest(context):
+        taken = kids(context)
+        return [x for before, x in after if before[: len(context)] == context and before[: len(context) + 1] not in taken]
+
+    def below(context, prefix, level):
+        return kt(*ab(rest(context), prefix, level)) + sum(weighted(c, prefix, level) for c in kids(context))
+
+    def weighted(context, prefix, level):
+        own = kt(*ab(symbols(context), prefix, level))
+        return own if len(context) == 2 else np.logaddexp(own, below(context, prefix, level)) - math.log(2)
+
+    def predict(path, context, prefix, level, bit):
+        def chance(some):
+            counts = ab(some, prefix, level)
+            return (counts[bit] + 0.5) / (sum(counts) + 1)
+
+        if len(context) == 2:
+            return chance(symbols(context))
+        share = 1 / (1 + math.exp(below(context, prefix, level) - kt(*ab(symbols(context), prefix, level))))
+        deeper = path[: len(context) + 1]
+        inner = predict(path, deeper, prefix, level, bit) if deeper in kids(context) else chance(rest(context))
+        return share * chance(symbols(context)) + (1 - share) * inner
+
+    def plain(string):
+        padded, total = bytes(2) + string + b"\xff", 0.0
+        for i in range(2, len(padded)):
+            for level in range(8):
+                total += math.log10(predict(padded[i - 1 :: -1][:2], b"", padded[i] >> (8 - level), level, padded[i] >> (7 - level) & 1))
         return total
 
-    for leaf in [int(leaves[0]), int(leaves[1]), 5]:
-        for byte in (0, 97, 255, int(counts[leaf].argmax())):
-            assert abs(plain(leaf, byte) - logs[leaf, byte]) < 1e-4
+    for string in (b"", b"abba", b"zq cab"):
+        assert abs(plain(string) - trees.score(string)) < 1e-3
 
 
-def test_cells_do_not_depend_on_pieces(monkeypatch):
+def test_counts_and_scores_do_not_depend_on_pieces(spark, monkeypatch):
     text = b"some text to be cut " * 20
-    whole = np.concatenate(list(lm.cells(text)))
+    whole = np.concatenate([lm.cells(p) for p in lm.pieces(text)])
+    keys, n = np.unique(whole, return_counts=True)
+    trees = lm.Trees(lm.tree_counts(spark.createDataFrame(list(zip(keys.tolist(), n.tolist())), "key long, n long"), len(whole)))
+    score = trees.score(text)
     monkeypatch.setattr(lm, "PIECE", 7)
-    assert np.concatenate(list(lm.cells(text))).tolist() == whole.tolist() and len(whole) == len(text) + 1
+    assert np.concatenate([lm.cells(p) for p in lm.pieces(text)]).tolist() == whole.tolist() and len(whole) == len(text) + 1
+    assert abs(trees.score(text) - score) < 1e-6
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 8000").select("doc_id", "text")
+    held = [r for r in lm.scores(docs, docs.filter(~lm.held_out())).filter(lm.held_out()).collect()]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
 def test_scores_without_rows_or_training(edges):
