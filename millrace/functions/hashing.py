@@ -30,12 +30,11 @@ def stable_hash_text(*parts: str) -> str:
 
 def fnv1a64(data: Column) -> Column:
     """Hash of a binary column; null stays null, empty gives the offset basis."""
-    digits = F.hex(data)
-    places = F.when(F.length(digits) > 0, F.sequence(F.lit(0), F.length(digits) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    octets = F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0))
     state = F.struct(F.lit(OFFSET >> 32).cast("long").alias("hi"), F.lit(OFFSET & MASK).cast("long").alias("lo"))
 
-    def step(s: Column, i: Column) -> Column:
-        x = s["lo"].bitwiseXOR(F.conv(F.substr(digits, i + 1, F.lit(2)), 16, 10).cast("long"))
+    def step(s: Column, octet: Column) -> Column:
+        x = s["lo"].bitwiseXOR(F.conv(octet, 16, 10).cast("long"))
         low = x * (PRIME & MASK)
         return F.struct(
             (s["hi"] * (PRIME & MASK) + x * (PRIME >> 32) + F.shiftright(low, 32)).bitwiseAND(F.lit(MASK).cast("long")).alias("hi"),
@@ -43,7 +42,7 @@ def fnv1a64(data: Column) -> Column:
         )
 
     half = lambda c: F.lpad(F.hex(c), 8, "0")
-    return F.when(data.isNotNull(), F.aggregate(places, state, step, lambda s: F.lower(F.concat(half(s["hi"]), half(s["lo"])))))
+    return F.when(data.isNotNull(), F.aggregate(octets, state, step, lambda s: F.lower(F.concat(half(s["hi"]), half(s["lo"])))))
 
 
 def stable_hash(*parts: Column) -> Column:
@@ -54,6 +53,21 @@ def stable_hash(*parts: Column) -> Column:
 
 def stable_hash_array(parts: Column) -> Column:
     """Hash of the texts of an array in their order, byte 255 after each."""
-    end = F.unhex(F.lit("FF"))
-    joined = F.aggregate(parts, F.unhex(F.lit("")), lambda acc, p: F.concat(acc, p.cast("binary"), end))
-    return fnv1a64(joined)
+    return fnv1a64(F.unhex(F.array_join(F.transform(parts, lambda p: F.concat(F.hex(p.cast("binary")), F.lit("FF"))), "")))
+
+
+def content_digest(signature: Column) -> list[Column]:
+    """Aggregates over rows that together tell their multiset: count, two xors and a sum of 64-bit hashes.
+
+    They are of fixed size and combine before a shuffle, so a group of any size can be hashed.
+    """
+    a, b = F.xxhash64(signature), F.xxhash64(signature, F.lit("second"))
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(a).alias("xa"), F.bit_xor(b).alias("xb"), F.sum(a.cast("decimal(20,0)")).alias("sa")]
+
+
+def digest_text(rows) -> str:
+    """The hash of one or more results of ``content_digest``, whatever way the rows were grouped."""
+    n = xa = xb = sa = 0
+    for r in rows:
+        n, xa, xb, sa = n + r["n"], xa ^ r["xa"], xb ^ r["xb"], sa + int(r["sa"])
+    return stable_hash_text(str(n), str(xa), str(xb), str(sa))

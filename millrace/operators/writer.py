@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import fnv1a64, stable_hash_array, stable_hash_text
+from ..functions.hashing import content_digest, digest_text, stable_hash_text
 from ..functions.text import mutation_signature
 from ..model import COLUMNS, FILE_BYTES, ROW_GROUP_BYTES, BatchManifest, ManifestFile
 from ..sources.files import Files
@@ -16,9 +16,6 @@ from .aggregate import fingerprint_parts
 from .normalize import Normalized
 
 
-HASHED_ROWS = 50_000
-
-
 @dataclass(frozen=True)
 class WriterConfig:
     file_bytes: int = FILE_BYTES
@@ -44,32 +41,27 @@ def write_sized(rows: DataFrame, order: list, path: str, n: int, per_file: int,
 
 
 def file_entries(rows: DataFrame, path: str, created_at: str) -> list[ManifestFile]:
-    """A manifest entry for each file: size, rows, and the hash of its rows' digests in sorted order.
+    """A manifest entry for each file: size, rows, and a hash of its rows.
 
     The hash is of the content, not of the bytes, so writing a batch again gives the same one.
     """
-    back = rows.sparkSession.read.parquet(path)
-    digests = back.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), fnv1a64(mutation_signature().cast("binary")).alias("d"))
-    found = digests.groupBy("file", "size").agg(F.count(F.lit(1)).alias("n"), stable_hash_array(F.array_sort(F.collect_list("d"))).alias("hash"))
-    return [ManifestFile(r["file"], "data", r["hash"], r["size"], r["n"], created_at) for r in sorted(found.collect(), key=lambda r: r["file"])]
+    back = rows.sparkSession.read.parquet(path).withColumns({"file": F.col("_metadata.file_path"), "size": F.col("_metadata.file_size")})
+    found = back.groupBy("file", "size").agg(*content_digest(mutation_signature()))
+    return [ManifestFile(r["file"], "data", digest_text([r]), r["size"], r["n"], created_at) for r in sorted(found.collect(), key=lambda r: r["file"])]
 
 
 def materialize(batch: Normalized, label: str | None, folder: str, config: WriterConfig = WriterConfig()) -> BatchManifest:
     """Write a normalised batch below ``folder`` and describe it.
 
-    The path depends on table and batch alone, so a replay overwrites its own files. The batch's content hash is over
-    the sorted hashes of its files' rows.
+    The path depends on table and batch alone, so a replay overwrites its own files. The batch's content hash is of
+    its rows, whatever files they are in.
     """
     rows = batch.rows.persist()
     try:
         signature = mutation_signature()
-        stats = rows.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(signature).cast("long")).alias("bytes")).collect()
+        stats = rows.groupBy("op").agg(F.sum(F.octet_length(signature).cast("long")).alias("bytes"), *content_digest(signature)).collect()
         n, size = sum(r["n"] for r in stats), sum(r["bytes"] for r in stats)
-        # parts of about HASHED_ROWS rows, whatever the batch's size
-        part = F.pmod(F.xxhash64("key_json", "ordering_value"), F.lit(-(-n // HASHED_ROWS)))
-        content = rows.select(part.alias("part"), fnv1a64(signature.cast("binary")).alias("d"))
-        parts = content.groupBy("part").agg(stable_hash_array(F.array_sort(F.collect_list("d"))).alias("h")).collect()
-        content_hash = stable_hash_text(*sorted(r["h"] for r in parts))
+        content_hash = digest_text(stats)
         found = fingerprint_parts(rows, ["table_id"]).first()
         fingerprint = stable_hash_text(*(found["parts"] if found else []))
         name = label.rsplit("/", 1)[-1].rsplit(".", 1)[0] if label else f"batch-{content_hash}"

@@ -410,3 +410,15 @@ def test_late_changes_across_batches(spark, tmp_path):
     query = late.writeStream.format("memory").queryName("late_rows").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/late-cp").start()
     assert query.awaitTermination(120)
     assert [tuple(r) for r in spark.table("late_rows").collect()] == [('{"id":1}', 3, 5)]
+
+
+def test_record_constructors(spark):
+    from millrace import contracts
+
+    rows = contracts.build(spark, [contracts.upsert([("b", 1), ("a", "x")], {"z": 1, "y": 2}, 5), contracts.delete([("b", 1)], 6)])
+    assert [(r["op"], r["key_json"], r["after_json"], r["pos"]) for r in rows.orderBy("pos").collect()] == [("upsert", '{"b":1,"a":"x"}', '{"y":2,"z":1}', 1), ("delete", '{"b":1}', None, 2)]
+    for bad in (lambda: contracts.upsert([], {}, 1), lambda: contracts.upsert([("a", 1), ("a", 2)], {}, 1), lambda: contracts.upsert([(" ", 1)], {}, 1)):
+        with pytest.raises(ContractError):
+            bad()
+    with pytest.raises(ContractError, match="append_only requires insert"):
+        contracts.build(spark, [contracts.upsert([("a", 1)], {}, 1, table_mode="append_only")])
