@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 BLOCK = 64
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 256
+GROUP = 1024
 TEMPERATURE = 0.5
 
 
@@ -126,9 +127,14 @@ def mix(
         F.xxhash64("doc_id").alias("_hash"),
     ).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     sizes = keyed.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("n"), F.first("source").cast("string").alias("source"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    sources = sizes.groupBy("_source").agg(F.sum("n").alias("rows"), F.first("source").alias("source"))
+    # offsets of buckets within groups of buckets, then of the groups: no task sees all buckets of a source
+    sizes = sizes.withColumn("_group", F.expr(f"_bucket div {GROUP}"))
+    groups = sizes.groupBy("_source", "_group").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
+    sources = groups.groupBy("_source").agg(F.sum("n").alias("rows"), F.first("source").alias("source"))
+    earlier = lambda *keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_source", "_group", F.coalesce(F.sum("n").over(earlier("_source", order="_group")), F.lit(0)).alias("base"))
+    inner = F.coalesce(F.sum("n").over(earlier("_source", "_group", order="_bucket")), F.lit(0))
+    sizes = sizes.withColumn("inner", inner).join(groups, ["_source", "_group"]).withColumn("offset", F.col("inner") + F.col("base"))
     slots = (
         sizes.select("_source", "_bucket", "offset", F.explode(F.expr(f"sequence(offset div {block}, (offset + n - 1) div {block})")).alias("block"))
         .join(_plan(sources, weights, temperature, rest, block), ["_source", "block"])
