@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHE, CACHE_CHARS = 400_000, 64
+CACHE, CACHE_CHARS = 120_000, 64
 
 
 def byte_characters() -> list[str]:
