@@ -50,6 +50,15 @@ def file_entries(rows: DataFrame, path: str, created_at: str) -> list[ManifestFi
     return [ManifestFile(r["file"], "data", digest_text([r]), r["size"], r["n"], created_at) for r in sorted(found.collect(), key=lambda r: r["file"])]
 
 
+def _entries(rows: DataFrame, path: str, n: int, content_hash: str, created_at: str) -> list[ManifestFile]:
+    """The same without reading back where there is one file, which then holds all rows."""
+    files = Files(rows.sparkSession)
+    written = files.glob(f"{path}/*.parquet")
+    if len(written) == 1:
+        return [ManifestFile(written[0], "data", content_hash, files.size(written[0]), n, created_at)]
+    return file_entries(rows, path, created_at)
+
+
 def materialize(batch: Normalized, label: str | None, folder: str, config: WriterConfig = WriterConfig()) -> BatchManifest:
     """Write a normalised batch below ``folder`` and describe it.
 
@@ -75,7 +84,7 @@ def materialize(batch: Normalized, label: str | None, folder: str, config: Write
     return BatchManifest(
         name, batch.table_id, batch.table_mode, batch.source_id, batch.source_class, batch.checkpoint_start, batch.checkpoint_end, batch.ordering_field,
         batch.ordering_min, batch.ordering_max, batch.schema_version, fingerprint, n, {r["op"]: r["n"] for r in sorted(stats, key=lambda r: r["op"])}, content_hash,
-        tuple(file_entries(batch.rows, path, created)), created,
+        tuple(_entries(batch.rows, path, n, content_hash, created)), created,
     )
 
 

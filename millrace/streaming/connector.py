@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+from pyspark.sql import functions as F
+
 from ..model import BatchManifest, ContractError
 from ..operators.ledger import Ledger
 from ..operators.normalize import normalize_batch
@@ -70,12 +72,16 @@ def commit_batch(
     config: WriterConfig = WriterConfig(), acknowledge=None,
 ) -> None:
     """Check, write and commit one admitted batch, and acknowledge it once its commit is durable; counts go to ``report``."""
-    _, broken = quarantine(batch.rows)
-    first = broken.orderBy("pos").select("pos", "violation").first()
-    if first:
-        raise ContractError(f"{batch.label}:{first['pos']}: {first['violation']}")
-    normal = normalize_batch(batch.rows, batch.checkpoint_end, batch.checkpoint_start)
-    manifest = materialize(normal, f"{table}.{batch.label}", staging, config)
+    rows = batch.rows.persist()  # decoded once for checks, statistics and files
+    try:
+        _, broken = quarantine(rows)
+        first = broken.agg(F.min(F.struct("pos", "violation")).alias("x")).first()["x"]
+        if first:
+            raise ContractError(f"{batch.label}:{first['pos']}: {first['violation']}")
+        normal = normalize_batch(rows, batch.checkpoint_end, batch.checkpoint_start)
+        manifest = materialize(normal, f"{table}.{batch.label}", staging, config)
+    finally:
+        rows.unpersist()
     gate.record_materialized(table)
     ledger.register_batch(manifest)
     ledger.record_files(manifest.batch_id, manifest)
