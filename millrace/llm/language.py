@@ -28,6 +28,8 @@ EXCERPT = 160
 EPOCHS = 6
 RATE = 0.5
 PIECE = 1 << 20
+#: The rejection threshold is this share of the confidence that all but a thousandth of right held-back texts reach.
+CAUTION = 0.7
 UNKNOWN = "und"
 
 
@@ -86,7 +88,7 @@ def calibrate(logits: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
     temperature = float(grid[int(np.argmin(loss))])
     best = softmax(logits / temperature)
     right = best.max(axis=1)[best.argmax(axis=1) == truth]
-    threshold = min(0.5, float(np.quantile(right, 0.001))) if len(right) else 0.0
+    threshold = CAUTION * min(0.5, float(np.quantile(right, 0.001))) if len(right) else 0.0
     return temperature, threshold
 
 
