@@ -18,26 +18,24 @@ from .common import durable, hash_bound, table
 from .components import components
 
 THRESHOLD = 0.95
-MARGIN = 4.0
+MARGIN = 3.0
 SAMPLE = 20_000
 MOST_CELLS = 4096
 BLOCK = 2048
 ITERATIONS = 8
 
 
-def unit(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision and whether each can link: not null, not zero, all components finite."""
-    out = np.full((len(rows), max([len(x) for x in rows if x is not None], default=0)), np.nan)
-    for i, x in enumerate(rows):
-        if x is not None and len(x):
-            out[i, : len(x)] = [np.nan if v is None else v for v in x]
-            out[i, len(x) :] = 0
-    largest = np.abs(out).max(axis=1, initial=0)
-    good = np.isfinite(out).all(axis=1) & (largest > 0)
-    out[~good] = 0
-    out[good] /= largest[good, None]
-    out[good] /= np.linalg.norm(out[good], axis=1)[:, None]
-    return out, good
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of finite numbers, none all zero, as unit vectors in double precision."""
+    rows = rows.astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, initial=0, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def matrix(column, d: int) -> np.ndarray:
+    """A list column whose rows all have ``d`` numbers."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
 def spherical_k_means(points: np.ndarray, cells: int, seed: int = 11) -> np.ndarray:
@@ -80,11 +78,11 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _compare(key, group):
     """One block of homes against one block of members of the same cell -> counts and spanning links."""
-    vectors = np.asarray(group.column("unit").combine_chunks().flatten()).reshape(group.num_rows, -1)
+    vectors = unit(matrix(group.column("embedding"), key[4].as_py()))
     side = group.column("side").to_numpy()
     ids, copies = group.column("id").to_numpy(), group.column("copies").to_numpy()
     home, member = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    threshold = key[-1].as_py()
+    threshold = key[3].as_py()
     near = vectors[home] @ vectors[member].T >= threshold
     near &= ids[home][:, None] != ids[member][None, :]
     linked = near.astype(np.float64) @ copies[member].astype(np.float64)
@@ -109,10 +107,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, margin: float
     lengths never link. Rows whose vec_id is null are kept, with links counted; their component is the least id that
     links reach, null if there is none. Repeated rows count as vectors of their own. An empty table gives no rows.
     """
-    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _numbers(vectors).alias("embedding"))
     good = F.coalesce(
         F.size("embedding") > 0, F.lit(False)
-    ) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    ) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x).cast("double") == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     # the class number is a hash of the embedding and its least vec_id, so it is fixed and as good as unique
     classes = durable(
         given.filter(good).groupBy("embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id"))
@@ -144,40 +142,42 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, margin: float
     )
 
 
+def _numbers(vectors: DataFrame):
+    """The embeddings as they are if they are float or double, else as double."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    return F.col("embedding") if kind in ("float", "double") else F.col("embedding").cast("array<double>")
+
+
 def _links(classes: DataFrame, d: int, threshold: float, margin: float, sample: int, block: int) -> DataFrame:
     """(id, links, root) of the classes of one length."""
     sc = classes.sparkSession.sparkContext
     n = classes.count()
     some = classes.filter(F.xxhash64("id", F.lit("cells")) <= hash_bound(1.2 * sample / n)).orderBy("id").limit(sample).select("embedding").toArrow()
-    points = unit(some.column("embedding").to_pylist())[0] if some.num_rows else np.eye(1, d)
+    points = unit(matrix(some.column("embedding"), d)) if some.num_rows else np.eye(1, d)
     centres = sc.broadcast(spherical_k_means(points, int(min(MOST_CELLS, max(1, np.sqrt(n))))))
 
     def assign(batches):
         for batch in batches:
-            vectors, _ = unit(batch.column("embedding").to_pylist())
-            ids, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
-            for k in range(0, len(vectors), 1024):
-                row, cell, home = cells_of(vectors[k : k + 1024], centres.value, threshold, margin)
-                row = row + k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row]), pa.array(copies[row]), pa.array(cell.astype(np.int32)), pa.array(home),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, (len(row) + 1) * d, d, dtype=np.int32)), pa.array(vectors[row].ravel()))],
-                    ["id", "copies", "cell", "home", "unit"],
-                )
-
-    placed = durable(classes.select("id", "copies", "embedding").mapInArrow(assign, "id long, copies long, cell int, home boolean, unit array<double>"))
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                row, cell, home = cells_of(unit(matrix(part.column("embedding"), d)), centres.value, threshold, margin)
+                taken = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell.astype(np.int32)), pa.array(home)], [*taken.schema.names, "cell", "home"])
+
+    kind = classes.schema["embedding"].dataType.simpleString()
+    placed = durable(classes.select("id", "copies", "embedding").mapInArrow(assign, f"id long, copies long, embedding {kind}, cell int, home boolean"))
     sizes = placed.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / block).cast("int").alias("members"), F.ceil(F.sum(F.col("home").cast("int")) / block).cast("int").alias("homes")
     ).filter("homes > 0")
     sized = placed.join(F.broadcast(sizes), "cell")  # at most MOST_CELLS rows
     own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
     home = sized.filter("home").select(
-        "cell", own("homes").alias("i"), F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("j"), F.lit(0).alias("side"), "id", "copies", "unit"
+        "cell", own("homes").alias("i"), F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("j"), F.lit(0).alias("side"), "id", "copies", "embedding"
     )
     member = sized.select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), own("members").alias("j"), F.lit(1).alias("side"), "id", "copies", "unit"
+        "cell", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), own("members").alias("j"), F.lit(1).alias("side"), "id", "copies", "embedding"
     )
-    return home.unionByName(member).groupBy("cell", "i", "j", F.lit(threshold).alias("t")).applyInArrow(_compare, "id long, links long, root long")
+    return home.unionByName(member).groupBy("cell", "i", "j", F.lit(threshold).alias("t"), F.lit(d).alias("d")).applyInArrow(_compare, "id long, links long, root long")
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
