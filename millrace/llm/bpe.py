@@ -3,15 +3,17 @@
 The model is serialised here, field by field: a piece for each rank with its bytes mapped to printable characters, the
 negative rank as its score, identity normalisation, no dummy prefix. Highest score first is then lowest rank first, so
 the merges are those of the rank file. Texts are cut by the pre-token pattern; each distinct pre-token is encoded once
-per worker (the memory of a worker's table is bounded by CACHE entries of at most CACHE_CHARS characters).
+per worker (between texts a worker keeps at most CACHE pre-tokens of at most CACHE_CHARS characters).
 """
 
 from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHE, CACHE_CHARS = 120_000, 64
+CACHE, CACHE_CHARS = 300_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -84,24 +86,39 @@ class Codec:
         # White space as Unicode's property has it: \s of this library also takes U+001C to U+001F.
         space = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.cut = regex.compile(pattern.replace(r"[^\s", f"[^{space}").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")).findall
-        self.cache: dict[str, list[int]] = {}
-
-    def pre_token(self, text: str) -> list[int]:
-        raw = text.encode()
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else self.model.EncodeAsIds(raw.decode("latin-1").translate(self.table))
-        if len(text) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[text] = ids
+        self.cache: dict[str, bytes] = {}  # ids of a pre-token, four bytes each
+
+    def learn(self, pre_tokens: list[str]) -> None:
+        """Put pre-tokens into the table: whole ranks as they are, the others encoded in one call."""
+        rest, mapped = [], []
+        for x in pre_tokens:
+            raw = x.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                self.cache[x] = array("i", (whole,)).tobytes()
+            else:
+                rest.append(x)
+                mapped.append(raw.decode("latin-1").translate(self.table))
+        if rest:
+            for x, ids in zip(rest, self.model.Encode(mapped, out_type=int, num_threads=1)):
+                self.cache[x] = array("i", ids).tobytes()
+
+    def encode_packed(self, text: str) -> bytes:
+        """Ids of a whole text, four bytes each; special-token strings are ordinary text."""
+        cache, words = self.cache, self.cut(text)
+        new = [x for x in set(words) if x not in cache]
+        if len(cache) + len(new) > CACHE:
+            cache.clear()
+            new = list(set(words))
+        self.learn(new)
+        ids = b"".join(map(cache.__getitem__, words))
+        for x in new:
+            if len(x) > CACHE_CHARS:
+                del cache[x]
         return ids
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; special-token strings are ordinary text."""
-        get, pre_token, out = self.cache.get, self.pre_token, []
-        for x in self.cut(text):
-            out += get(x) or pre_token(x)
-        return out
+        return array("i", self.encode_packed(text)).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -129,13 +146,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         own = default_codec()
         tool = codec(path or own[0], pattern or own[1])
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                ids = [tool.encode(x) if x else [] for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(tool.decode, ids), pa.binary())],
-                    ["doc_id", "ids", "decoded"],
-                )
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                packed = [tool.encode_packed(x) if x else b"" for x in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, packed)]) // 4
+                ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
+                decoded = pa.array([tool.decode(array("i", x)) for x in packed], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids.cast(pa.list_(pa.int32())), decoded], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary"
