@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -71,12 +72,14 @@ def materialize(batch: Normalized, label: str | None, folder: str, config: Write
         stats = rows.groupBy("op").agg(F.sum(F.octet_length(signature).cast("long")).alias("bytes"), *content_digest(signature)).collect()
         n, size = sum(r["n"] for r in stats), sum(r["bytes"] for r in stats)
         content_hash = digest_text(stats)
-        found = fingerprint_parts(rows, ["table_id"]).first()
-        fingerprint = stable_hash_text(*(found["parts"] if found else []))
         name = label.rsplit("/", 1)[-1].rsplit(".", 1)[0] if label else f"batch-{content_hash}"
         path = f"{folder.rstrip('/')}/{batch.table_id}/{name}"
         order = ["key_json"] if batch.table_mode == "keyed_upsert" else ["pos"]
-        write_sized(rows, order, path, n, rows_for_target(config.file_bytes, size // max(1, n)), config.row_group_bytes)
+        with ThreadPoolExecutor(1) as beside:  # the fingerprint needs nothing of the files
+            parts = beside.submit(lambda: fingerprint_parts(rows, ["table_id"]).first())
+            write_sized(rows, order, path, n, rows_for_target(config.file_bytes, size // max(1, n)), config.row_group_bytes)
+            found = parts.result()
+        fingerprint = stable_hash_text(*(found["parts"] if found else []))
     finally:
         rows.unpersist()
     now = datetime.now(UTC)
