@@ -63,6 +63,6 @@ def schema_fingerprints(rows: DataFrame, by: list[str]) -> DataFrame:
     return fingerprint_parts(rows, by).select(*by, stable_hash_array(F.col("parts")).alias("schema_fingerprint"))
 
 
-def percentile_ms(rows: DataFrame, by: list[str], column: str, share: float = 0.95) -> DataFrame:
-    """Percentile with linear interpolation, rounded to three places; no rows give none."""
-    return rows.groupBy(*by).agg(F.round(F.percentile(column, F.lit(share)), 3).alias("p"))
+def percentile_ms(rows: DataFrame, by: list[str], column: str, share: float = 0.95, places: int = 3) -> DataFrame:
+    """Percentile with linear interpolation, rounded; no rows give none."""
+    return rows.groupBy(*by).agg(F.round(F.percentile(column, F.lit(share)), places).alias("p"))
