@@ -3,9 +3,14 @@
 Each byte is eight binary decisions. Every decision has its own context tree over the DEPTH bytes before it. Each node
 holds a Krichevsky-Trofimov estimator, and the weighting mixes the estimators of all depths by how well each explained
 the training bytes. The counts are taken over every training byte of the corpus. A context is a node of the trees if it
-holds at least 1/CONTEXTS of all training bytes, so a depth has no more than CONTEXTS nodes however large the corpus is;
-the bytes after a node's other contexts form one more leaf below it. Scores use the trained, frozen trees. A text begins
-after DEPTH zero bytes and ends with an end symbol of its own.
+holds at least LEAST training bytes, whatever the size of the corpus, so the trees grow with it; the bytes after a
+node's other contexts form one more leaf below it. Scores use the trained, frozen trees. A text begins after DEPTH zero
+bytes and ends with an end symbol of its own.
+
+The trees stay distributed. Nodes deeper than HEAD are dealt by their nearest HEAD + 1 bytes and weighted where they lie;
+only the nodes up to depth HEAD, of which there are 65,793 at most, meet on the driver. Every cell (a byte and the DEPTH
+bytes before it) that occurs in a scored text gets its probability there. Cells with at least 1/KEPT of all training
+bytes, of which there can be no more than KEPT, go to every worker; the others are looked up by a join, as rare words are.
 
 Word counts of the base score follow the vocabulary and stay distributed. Only words with at least 1/FREQUENT of all
 training tokens, of which there can be no more than FREQUENT, go to every worker; the others are looked up by a join.
@@ -25,7 +30,11 @@ from pyspark.sql import functions as F
 from .common import durable, table
 
 DEPTH = 5
-CONTEXTS = 1 << 16
+LEAST = 16
+HEAD = 2
+KEPT = 1 << 22
+PART = 20_000  # cells that are weighted together
+CONTEXTS = 1 << 16  # of Trees, the local form
 END = 255  # never a byte of UTF-8
 FREQUENT = 1 << 18
 PIECE = 1 << 20
@@ -67,8 +76,120 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
+def decisions(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The binary decisions of cells: context and place in the byte as one sorted number, zeros, ones."""
+    byte = cell & np.uint64(255)
+    code = np.concatenate([cell ^ byte | np.uint64(1 << level) | byte >> np.uint64(8 - level) for level in range(8)])
+    one = np.concatenate([byte >> np.uint64(7 - level) & np.uint64(1) for level in range(8)]).astype(bool)
+    every, place = np.unique(code, return_inverse=True)
+    n = np.tile(n, 8)
+    zeros, ones = (np.bincount(place, x, len(every)).astype(float) for x in (np.where(one, 0, n), np.where(one, n, 0)))  # empty ones are whole numbers
+    return every, zeros, ones
+
+
+def _mask(d: int) -> np.uint64:
+    return np.uint64((1 << 8 * d) - 1)
+
+
+def grow(key: np.ndarray, n: np.ndarray, first: int, last: int, hung=None) -> tuple[dict, tuple]:
+    """The nodes of depth ``first`` to ``last`` that cells give, and the sums (code, weighted, zeros, ones) that the nodes
+    of depth ``first`` hang on their parents. ``hung`` are those sums of the nodes below ``last``.
+
+    A depth has the sorted contexts that are nodes and, for each decision seen there: code, zeros, ones, zeros and ones of
+    the rest, and the share of the node's own estimate.
+    """
+    depths = {}
+    for d in range(last, first - 1, -1):
+        cell, place = np.unique(key & _mask(d + 1), return_inverse=True)
+        m = np.bincount(place, n, len(cell))
+        nodes, at = np.unique(cell >> np.uint64(8), return_inverse=True)
+        is_node = np.bincount(at, m, len(nodes)) >= LEAST
+        if d == 0:
+            nodes, is_node = np.zeros(1, np.uint64), np.ones(1, bool)
+        used = is_node[at] & (m > 0)
+        code, zeros, ones = decisions(cell[used], m[used])
+        weighted = own = log_kt(zeros, ones)
+        rest0, rest1, share = zeros, ones, np.zeros(len(code))
+        if d < DEPTH:
+            rest0, rest1, below = zeros.copy(), ones.copy(), np.zeros(len(code))
+            if hung is not None:
+                i = np.searchsorted(code, hung[0])
+                below[i] += hung[1]
+                rest0[i] -= hung[2]
+                rest1[i] -= hung[3]
+            below += log_kt(rest0, rest1)
+            share = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+            weighted = np.logaddexp(own, below) - np.log(2)
+        depths[d] = nodes[is_node], code, zeros, ones, rest0, rest1, share
+        up = code >> np.uint64(8) & _mask(max(d - 1, 0))
+        parent, place = np.unique(up << np.uint64(8) | code & np.uint64(255), return_inverse=True)
+        hung = parent, *(np.bincount(place, x, len(parent)).astype(float) for x in (weighted, zeros, ones))
+    return depths, hung
+
+
+def _find(every: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``every``, and whether they are there."""
+    if not len(every):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    i = np.minimum(np.searchsorted(every, wanted), len(every) - 1)
+    return i, every[i] == wanted
+
+
+def log_chances(key: np.ndarray, depths: dict) -> np.ndarray:
+    """log10 probability of each cell's byte after its context, by the nodes on the context's path."""
+    context = [key >> np.uint64(8) & _mask(d) for d in range(DEPTH + 1)]
+    is_node = [_find(depths[d][0], context[d])[1] for d in range(DEPTH + 1)]
+    byte, out = key & np.uint64(255), np.zeros(len(key))
+    for level in range(8):
+        code = np.uint64(1 << level) | byte >> np.uint64(8 - level)
+        p, left = np.zeros(len(key)), np.ones(len(key))
+        for d in range(DEPTH + 1):
+            _, codes, *values = depths[d]
+            i, hit = _find(codes, context[d] << np.uint64(8) | code)
+            zeros, ones, rest0, rest1, share = (np.where(hit, x[i], 0.0) if len(codes) else np.zeros(len(key)) for x in values)
+            if d == DEPTH:
+                p += left * (ones + 0.5) / (zeros + ones + 1)
+                break
+            share = np.where(hit, share, 0.5)
+            p += left * share * (ones + 0.5) / (zeros + ones + 1)
+            left *= 1 - share
+            p += np.where(is_node[d + 1], 0, left) * (rest1 + 0.5) / (rest0 + rest1 + 1)
+            left = np.where(is_node[d + 1], left, 0)
+        out += np.log10(np.where(byte >> np.uint64(7 - level) & np.uint64(1) > 0, p, 1 - p))
+    return out
+
+
+def cell_logs(cells: DataFrame, number: int) -> DataFrame:
+    """(key, n, log): log10 probability of every cell of ``cells`` (key, n), about ``number`` of them; n is its count in the
+    training texts, zero if it occurs in scored texts only."""
+    parts = max(1, -(-number // PART))
+    near = F.expr(f"shiftright(key, 8) & {int(_mask(HEAD + 1))}L")
+    dealt = cells.select("key", "n", F.pmod(F.xxhash64(near), F.lit(parts)).alias("part"))
+
+    def below(found: pa.Table):
+        return grow(found["key"].to_numpy().astype(np.uint64), found["n"].to_numpy(), HEAD + 1, DEPTH)
+
+    def hang(found: pa.Table) -> pa.Table:
+        code, *sums = below(found)[1]
+        return pa.table([pa.array(code.astype(np.int64)), *map(pa.array, sums)], ["code", "weighted", "zeros", "ones"])
+
+    sums = dealt.groupBy("part").applyInArrow(hang, "code long, weighted double, zeros double, ones double")
+    sums = sums.groupBy("code").agg(*(F.sum(x).alias(x) for x in ("weighted", "zeros", "ones"))).orderBy("code").toArrow()
+    short = cells.groupBy(F.expr(f"key & {int(_mask(HEAD + 1))}L").alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    hung = sums["code"].to_numpy().astype(np.uint64), *(sums[x].to_numpy() for x in ("weighted", "zeros", "ones"))
+    top = grow(short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy(), 0, HEAD, hung)[0]
+    shared = cells.sparkSession.sparkContext.broadcast(top)
+
+    def run(found: pa.Table) -> pa.Table:
+        logs = log_chances(found["key"].to_numpy().astype(np.uint64), shared.value | below(found)[0])
+        return pa.table([found["key"], found["n"], pa.array(logs)], ["key", "n", "log"])
+
+    return dealt.groupBy("part").applyInArrow(run, "key long, n long, log double")
+
+
 class Trees:
-    """The weighted trees: for each node a row of log10 probabilities of bytes, and its children by the next byte back.
+    """The weighted trees in one place, with at most CONTEXTS nodes of a depth: the local form that tests hold against
+    ``cell_logs``. For each node there is a row of log10 probabilities of bytes, and its children by the next byte back.
 
     ``counts`` holds for each depth the sorted contexts that are nodes (as in ``cells``, without the lowest byte) and a
     matrix of counts of the bytes after them. A row is that of the leaf in which a context ends whose longest suffix
@@ -218,6 +339,33 @@ def count(training: DataFrame, most_words: int = 300_000) -> DataFrame:
     return training.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def occurring(docs: DataFrame) -> DataFrame:
+    """(kind, key, n) of every cell of the texts, with n zero: cells that are to be scored, trained or not."""
+
+    def run(batches):
+        every, waiting, held = np.zeros(0, np.uint64), [], 0
+
+        def emit():
+            for k in range(0, len(every), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(every[k : k + 50_000].astype(np.int64))], ["key"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for part in pieces(_lowered(text)):
+                    waiting.append(cells(part))
+                    held += len(part)
+                    if held > 4 * PIECE:
+                        every, waiting, held = np.unique(np.concatenate([every, *waiting])), [], 0
+                        if len(every) > 2 * PIECE:
+                            yield from emit()
+                            every = np.zeros(0, np.uint64)
+        every = np.unique(np.concatenate([every, *waiting]))
+        yield from emit()
+
+    found = docs.select("text").mapInArrow(run, "key long")
+    return found.select(F.lit(CONTEXT).alias("kind"), "key", F.lit(0).cast("long").alias("n"))
+
+
 def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): one row per row of ``docs``.
 
@@ -226,29 +374,45 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     returned; null ids are allowed; other columns are ignored; an empty ``docs`` gives no rows.
     """
     spark = docs.sparkSession
-    counts = durable(count(training.select(F.col("text").cast("string").alias("text"))))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    trained = count(training.select(F.col("text").cast("string").alias("text")))
+    counts = durable(trained.unionByName(occurring(texts)).groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     ends = total[LAST]["n"] if LAST in total else 0
     tokens = ends + (total[WORD]["n"] if WORD in total else 0)
     distinct = (1 if ends else 0) + (total[WORD]["v"] if WORD in total else 0)
 
-    contexts = total[CONTEXT]["n"] if CONTEXT in total else 0
-    trees = Trees(tree_counts(counts.filter(F.col("kind") == CONTEXT).select("key", "n"), contexts))
+    contexts, different = (total[CONTEXT]["n"], total[CONTEXT]["v"]) if CONTEXT in total else (0, 0)
+    logs = durable(cell_logs(counts.filter(F.col("kind") == CONTEXT).select("key", "n"), different))
+    is_kept = (F.col("n") > 0) & (F.col("n") * KEPT >= contexts)
+    kept = logs.filter(is_kept).select("key", "log").orderBy("key").toArrow()
+    kept = kept["key"].to_numpy().astype(np.uint64), kept["log"].to_numpy().astype(np.float32)
     frequent = counts.filter((F.col("kind") == WORD) & (F.col("n") * FREQUENT >= tokens)).select("key", "n").toArrow()
     known = dict(zip(frequent.column("key").to_pylist(), frequent.column("n").to_pylist()))
-    shared = spark.sparkContext.broadcast((trees, known))
+    shared = spark.sparkContext.broadcast((kept, known))
     last = float(np.log10(ends + 0.5))
 
     def run(batches):
-        trees, known = shared.value
+        (kept, kept_logs), known = shared.value
         value = {k: float(np.log10(n + 0.5)) for k, n in known.items()}
         names: dict[bytes, int] = {}
 
+        def look_up(waiting, owners, score):
+            """Adds the kept cells to ``score`` and returns cell, owner and number of the others."""
+            cell, place = np.unique(np.concatenate(waiting), return_inverse=True)
+            owner = np.repeat([o for o, _ in owners], [n for _, n in owners])
+            i, hit = _find(kept, cell)
+            score += np.bincount(owner, np.where(hit, kept_logs[i], 0.0)[place] if len(kept) else None, len(score)) * bool(len(kept))
+            other = ~hit[place]
+            pair, times = np.unique(place[other] * len(score) + owner[other], return_counts=True)
+            return cell[pair // len(score)], pair % len(score), times
+
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids, marks, keys, numbers, stats = [], [], [], [], []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                ids, marks, kinds, keys, numbers, stats, firsts = [], [], [], [], [], [], []
+                score, waiting, owners, held, others = np.zeros(part.num_rows), [], [], 0, []
+                for place, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
                     lowered = _lowered(text)
                     mark = xxhash.xxh64_intdigest(b"-" if text is None else b"+" + text.encode("utf-8", "replace")) - (1 << 63)
                     words = Counter(lowered.split())
@@ -273,20 +437,45 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
                     more = len(keys) - before
                     ids += [doc] * more
                     marks += [mark] * more
-                    stats.append({"n": n, "known": seen, "base": base, "score": trees.score(lowered), "bytes": len(lowered)})
+                    kinds += [LAST] + [WORD] * (more - 1)
+                    firsts.append(before)
+                    stats.append({"n": n, "known": seen, "base": base, "bytes": len(lowered)})
                     stats += [None] * (more - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(stats, _STATS)],
-                    ["doc_id", "mark", "key", "times", "stats"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, mark long, key long, times int, stats struct<n:long,known:long,base:double,score:double,bytes:long>"
+                    for piece in pieces(lowered):
+                        waiting.append(cells(piece))
+                        owners.append((place, len(waiting[-1])))
+                        held += len(piece)
+                        if held > PIECE:
+                            others.append(look_up(waiting, owners, score))
+                            waiting, owners, held = [], [], 0
+                if waiting:
+                    others.append(look_up(waiting, owners, score))
+                for place, first in enumerate(firsts):
+                    stats[first]["score"] = float(score[place])
+                ids, marks = pa.array(ids, pa.int64()), pa.array(marks, pa.int64())
+                yield _rows(ids, marks, pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(stats, _STATS))
+                for cell, owner, times in others:
+                    at = np.array(firsts)[owner]
+                    for j in range(0, len(at), 50_000):
+                        some = pa.array(at[j : j + 50_000])
+                        yield _rows(
+                            ids.take(some),
+                            marks.take(some),
+                            pa.array(np.full(len(some), CONTEXT, np.int32)),
+                            pa.array(cell[j : j + 50_000].astype(np.int64)),
+                            pa.array(times[j : j + 50_000].astype(np.int32)),
+                            pa.nulls(len(some), _STATS),
+                        )
+
+    rows = texts.mapInArrow(
+        run, "doc_id long, mark long, kind int, key long, times int, stats struct<n:long,known:long,base:double,score:double,bytes:long>"
     )
-    rare = counts.filter((F.col("kind") == WORD) & (F.col("n") * FREQUENT < tokens)).select("key", F.col("n").alias("c")).hint("shuffle_hash")
-    times = F.col("times")
+    rare_words = counts.filter((F.col("kind") == WORD) & (F.col("n") * FREQUENT < tokens)).select("kind", "key", F.col("n").alias("c"), F.log10(F.col("n") + 0.5).alias("log"))
+    rare_cells = logs.filter(~is_kept).select(F.lit(CONTEXT).alias("kind"), "key", F.lit(0).cast("long").alias("c"), "log")
+    rare = rare_words.unionByName(rare_cells).hint("shuffle_hash")
+    times, is_cell = F.col("times"), F.col("kind") == CONTEXT
     gathered = (
-        rows.join(rare, "key", "left")
+        rows.join(rare, ["kind", "key"], "left")
         .groupBy("doc_id", "mark")
         .agg(
             F.count("stats").alias("rows"),
@@ -295,10 +484,12 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
             F.max("stats.base").alias("base"),
             F.max("stats.score").alias("score"),
             F.max("stats.bytes").alias("bytes"),
-            F.sum(times * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare"),
+            F.sum(F.when(~is_cell, times * F.coalesce("log", F.lit(float(np.log10(0.5)))))).alias("rare"),
+            F.sum(F.when(is_cell, times * F.col("log")).otherwise(0.0)).alias("rare_cells"),
             F.sum(F.when(F.col("c") > 0, times).otherwise(0)).alias("rare_known"),
         )
     )
+    score = F.col("score") + F.col("rare_cells") / F.col("rows")
     norm = float(np.log10(tokens + 0.5 * (distinct + 1)))
     return gathered.select(
         "doc_id",
@@ -306,8 +497,8 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
         (F.col("known") + F.expr("rare_known div rows")).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("rare") / F.col("rows") - F.col("n") * norm).alias("base_score"),
-        "score",
-        (-F.col("score") * float(np.log2(10)) / (F.col("bytes") + 1)).alias("bits_per_byte"),
+        score.alias("score"),
+        (-score * float(np.log2(10)) / (F.col("bytes") + 1)).alias("bits_per_byte"),
         F.explode(F.expr("sequence(1, rows)")).alias("_copy"),
     ).drop("_copy")
 
@@ -315,6 +506,10 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
 _STATS = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64())])
 
 
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), ["doc_id", "mark", "kind", "key", "times", "stats"])
+
+
 def held_out():
     """crc32 of doc_id as text leaves 1 modulo 5; false where doc_id is null."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))

@@ -386,6 +386,32 @@ def test_trees_against_a_plain_recursion(spark, monkeypatch):
         assert abs(plain(string) - trees.score(string)) < 1e-3
 
 
+@pytest.mark.parametrize("kept", [1 << 22, 8])
+def test_every_context_of_sixteen_bytes_is_scored(docs, edges, kept, monkeypatch):
+    """Against the local trees, given each context of 16 bytes or more as a node; with few cells kept, most are joined."""
+    monkeypatch.setattr(lm, "KEPT", kept)
+    for df in (docs.select("doc_id", "text").limit(60), edges):
+        df = df.localCheckpoint()
+        training = df.filter(~lm.held_out())
+        counts = lm.count(training).filter(F.col("kind") == lm.CONTEXT).select("key", "n").localCheckpoint()
+        total = counts.agg(F.sum("n")).first()[0]
+        monkeypatch.setattr(lm, "CONTEXTS", total / 16 + 1e-6)
+        trees = lm.Trees(lm.tree_counts(counts, total))
+        want = sorted((str(r["doc_id"]), trees.score(lm._lowered(r["text"]))) for r in df.collect())
+        got = sorted((str(r["doc_id"]), r["score"]) for r in lm.scores(df, training).collect())
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-5, atol=1e-3)
+
+
+def test_nodes_grow_with_the_training_texts(spark):
+    """A context seen 20 times is used however many other bytes there are."""
+    rng = random.Random(2)
+    filler = [(2 * i + 10, " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(2000))) for i in range(130)]
+    docs = spark.createDataFrame([(1, "qzxwv" * 20), *filler], "doc_id long, text string")
+    row = lm.scores(docs.filter("doc_id = 1"), docs).first()
+    assert row["bits_per_byte"] < 1.5
+
+
 def test_counts_and_scores_do_not_depend_on_pieces(spark, monkeypatch):
     text = b"some text to be cut " * 20
     whole = np.concatenate([lm.cells(p) for p in lm.pieces(text)])
