@@ -46,16 +46,19 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fingerprint): the fingerprint as a signed long, zero for null texts and texts without words."""
+def fingerprints(docs: DataFrame, words: int = WORDS, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, fingerprint): the fingerprint as a signed long, zero for null texts and texts without words.
+
+    ``carried`` are the columns, all of them longs, that stay beside it.
+    """
 
     def run(batches):
         for batch in batches:
             found = np.array([fingerprint(x, words) for x in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(found.view(np.int64))], [*carried, "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fingerprint long"
+    return docs.select(*(F.col(c).cast("long").alias(c) for c in carried), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, ", ".join(f"{c} long" for c in (*carried, "fingerprint"))
     )
 
 
@@ -113,6 +116,15 @@ def links(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return home.join(visitor, near).select("a", "b")
 
 
+def _labelled(found: DataFrame, least, threshold: int) -> DataFrame:
+    """(fingerprint, least_id, label) of each distinct fingerprint: the least of ``least`` in it, and its component."""
+    classes = durable(found.groupBy("fingerprint").agg(F.min(least).alias("least_id")))
+    labels = components(links(classes, threshold))
+    return classes.join(labels, classes["fingerprint"] == labels["node"], "left").select(
+        "fingerprint", "least_id", F.coalesce("label", "fingerprint").alias("label")
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fingerprint long, component_id): one row per document row.
 
@@ -121,23 +133,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     none. Repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
     """
     found = durable(fingerprints(docs, words))
-    classes = durable(found.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
-    labels = components(links(classes, threshold))
-    labelled = classes.join(labels, classes["fingerprint"] == labels["node"], "left").select(
-        "fingerprint", "least_id", F.coalesce("label", "fingerprint").alias("label")
-    )
+    labelled = _labelled(found, "doc_id", threshold)
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     member = labelled.join(least, "label").select("fingerprint", "component_id")
     return found.join(member, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents whose doc_id is their component's least: one stays of each group. Columns as given.
+    """One row of each component: that of its least doc_id, of the least text hash where ids are alike. Columns as given.
 
-    Repeated rows of one doc_id count as one. A document without doc_id stays only if its whole component has none.
+    Rows alike in doc_id and text count as one. A null doc_id comes after all others, so a document without id stays only
+    if its whole component has none and its text hash is the least.
     """
-    kept = near_duplicates(docs, words, threshold).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
+    found = durable(fingerprints(marked, words, ("doc_id", "_mark")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark")
+    kept = _labelled(found, row, threshold).groupBy("label").agg(F.min("least_id").alias("kept"))
+    kept = kept.select(F.col("kept.doc_id").alias("_kept"), F.col("kept._mark").alias("_kept_mark"))
+    same = marked["doc_id"].eqNullSafe(kept["_kept"]) & (marked["_mark"] == kept["_kept_mark"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

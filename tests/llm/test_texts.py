@@ -201,6 +201,16 @@ def test_deduplicate_keeps_one_of_each(edges):
     assert simhash.near_duplicates(edges.limit(0)).count() == 0
 
 
+def test_deduplicate_keeps_unlike_texts_without_or_with_the_same_id(spark, edges):
+    a, b, c, d = (" ".join(f"{k}{i * i}" for i in range(40)) for k in "abcd")
+    rows = [(None, a), (None, b), (None, b), (None, c), (3, c), (7, d), (7, a + " " + d), (7, d), (9, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (3, c), (7, d), (7, a + " " + d)], key=str)
+    assert simhash.deduplicate(edges).columns == edges.columns
+    assert sorted(str(r["doc_id"]) for r in simhash.deduplicate(edges).collect()) == sorted(map(str, [0, 1, 4, 7, 8, 9, 10, None]))
+
+
 # ---- language
 
 
