@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star contraction.
 
 Every round is two grouped minima and two joins on the link table; links, labels and components stay distributed.
-Rounds grow with the logarithm of the longest path. Each round is cut off with a checkpoint.
+Rounds grow with the logarithm of the longest path. Each round is written and the one before it deleted. Rounds end when
+the links are stars, which one grouped pass tells: then no node has two links down, or both links up and down.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
-def _digest(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-    return row["n"], row["x"]
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node of (a, b), b < a, is either once an a or only ever a b."""
+    ends = links.select("a", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(links.select(F.col("b").alias("a"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    each = ends.groupBy("a").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return each.filter("down > 1 OR (down > 0 AND up > 0)").isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -35,13 +38,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Only nodes that occur in a link between two different nodes are returned.
     """
-    links = durable(links.select("a", "b").filter("a <> b").distinct())
-    before = _digest(links)
-    while before[0]:
-        links = durable(_small_star(_large_star(links)))
-        after = _digest(links)
-        if after == before:
-            break
-        before = after
+    links = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    while not _are_stars(links):
+        links = durable(_small_star(_large_star(links)), instead_of=links)
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())

@@ -7,8 +7,9 @@ block runs in each slot, the released one with the earliest deadline. Unit jobs
 deadlines, so at no time does a source deviate from its fluid share by a whole block. A source that runs out leaves its
 share to the others in proportion; every document is placed exactly once.
 
-The scheduler sees a row for each source and emits a row for each block; its memory holds the sources alone. Documents
-are ranked within hash buckets, so the largest source is spread over as many tasks as its size asks for.
+The scheduler sees a row for each source and emits a row for each block; its memory holds the sources alone. A block has
+BLOCK rows, or as many more as keep the number of blocks near MOST_BLOCKS, so that one task can schedule any corpus.
+Documents are ranked within hash buckets, so the largest source is spread over as many tasks as its size asks for.
 """
 
 from __future__ import annotations
@@ -16,27 +17,37 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from fractions import Fraction
-from math import lcm
+from math import isfinite
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Aside, table, without
 
 BLOCK = 64
+MOST_BLOCKS = 1 << 24
+UNITS = 1 << 40
 BUCKET_ROWS = 256
 GROUP = 1024
 TEMPERATURE = 0.5
 
 
 def whole_weights(weights: list[float]) -> list[int]:
-    """Positive weights as whole numbers in the same proportions (to six decimals)."""
-    parts = [Fraction(w).limit_denominator(1_000_000) for w in weights]
-    if any(w <= 0 for w in parts):
+    """Positive weights as whole numbers in the same proportions: shares of UNITS by largest remainders, at least one each."""
+    if not all(isfinite(w) and w > 0 for w in weights):
         raise ValueError("weights must be positive")
-    scale = lcm(*(w.denominator for w in parts))
-    return [int(w * scale) for w in parts]
+    if not weights:
+        return []
+    most = max(weights)
+    scaled = [Fraction(w / most) for w in weights]  # no overflow, no underflow of the sum
+    total = sum(scaled, Fraction(0))
+    exact = [w * UNITS / total for w in scaled]
+    out = [int(w) for w in exact]
+    short = UNITS - sum(out)
+    for i in sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))[:short]:
+        out[i] += 1
+    return [max(1, w) for w in out]
 
 
 def windows(counts: list[int], weights: list[int], source: int) -> Iterator[tuple[int, int]]:
@@ -116,13 +127,18 @@ def mix(
 
     ``weights`` gives target weights by source, ``rest`` those of sources that it doesn't name; without it a source's
     weight is its row count to the power ``temperature``. Reading by (mix_slot, mix_position) gives the mixture. A null
-    source is a source of its own. Rows are ordered within a source by a hash of doc_id, ties by a hash of the text;
-    rows equal in both are interchangeable. Columns named mix_* are replaced. An empty table gives no rows.
+    source is a source of its own, as is an empty one. Rows are ordered within a source by a hash of doc_id, ties by
+    doc_id (null first) and a hash of the text if there is one; rows equal in all are interchangeable. Columns named
+    mix_* are replaced, others come back as given. An empty table gives no rows.
     """
-    names = [c for c in docs.columns if not c.lower().startswith("mix_") and c not in ("_source", "_bucket", "_hash")]
-    buckets = max(1, -(-docs.count() // bucket_rows))
-    keyed = docs.select(
-        *names,
+    given = without(docs, lambda n: n.startswith("mix_"))
+    read = ["doc_id", "source"] + ["text"] * ("text" in given.columns)
+    whole = Aside(given, *read)
+    rows = given.count()
+    buckets = max(1, -(-rows // bucket_rows))
+    block = block * max(1, -(-rows // (block * MOST_BLOCKS)))
+    keyed = whole.frame.select(
+        *whole.frame.columns,
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source"),
         F.xxhash64("doc_id").alias("_hash"),
     ).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
@@ -141,13 +157,13 @@ def mix(
         .groupBy("_source", "_bucket")
         .agg(F.min("offset").alias("_offset"), F.array_sort(F.collect_list(F.struct("block", "slot", "release", "deadline"))).alias("_slots"))
     )
-    ties = F.xxhash64("text") if "text" in names else F.lit(0)
+    ties = F.xxhash64("text") if "text" in read else F.lit(0)
     rank = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", ties)) - 1
     placed = keyed.withColumn("_rank", rank).join(slots, ["_source", "_bucket"])
     placed = placed.withColumn("_rank", F.col("_rank") + F.col("_offset"))
     at = F.expr(f"_slots[cast(_rank div {block} - _offset div {block} as int)]")
-    return placed.select(
-        *names,
+    return whole.back(
+        placed,
         at["block"].alias("mix_block"),
         at["slot"].alias("mix_slot"),
         at["release"].alias("mix_release"),
@@ -157,11 +173,14 @@ def mix(
 
 
 def in_order(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents themselves, sorted into the mixture's order."""
-    return mix(docs, **parameters).orderBy("mix_slot", "mix_position").select(*docs.columns)
+    """The documents themselves, sorted into the mixture's order; columns as given, whatever their names. Ties, nulls and
+    empty tables as in ``mix``."""
+    own = ["doc_id", "source"] + ["text"] * ("text" in docs.columns)
+    whole = Aside(docs, *own)
+    return whole.back(mix(whole.frame, **parameters).orderBy("mix_slot", "mix_position"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block, slot, window and position of every document under weights that flatten the sources' sizes."""
+    """Block, slot, window and position of every document under weights that flatten the sources' sizes. Edge cases as in ``mix``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import Aside, durable, only, table
 from .components import components
 
 SEED = 42
@@ -57,7 +57,8 @@ def fingerprints(docs: DataFrame, words: int = WORDS, carried: tuple[str, ...] =
             found = np.array([fingerprint(x, words) for x in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(found.view(np.int64))], [*carried, "fingerprint"])
 
-    return docs.select(*(F.col(c).cast("long").alias(c) for c in carried), F.col("text").cast("string").alias("text")).mapInArrow(
+    given = only(docs, *carried, "text")
+    return given.select(*(F.col(c).cast("long").alias(c) for c in carried), F.col("text").cast("string").alias("text")).mapInArrow(
         run, ", ".join(f"{c} long" for c in (*carried, "fingerprint"))
     )
 
@@ -143,19 +144,21 @@ def deduplicate(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     """One row of each component: that of its least doc_id, of the least text hash where ids are alike. Columns as given.
 
     Rows alike in doc_id and text count as one. A null doc_id comes after all others, so a document without id stays only
-    if its whole component has none and its text hash is the least.
+    if its whole component has none and its text hash is the least. Null and empty texts are alike. An empty table gives
+    no rows; other columns may have any names.
     """
-    marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
-    found = durable(fingerprints(marked, words, ("doc_id", "_mark")))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark")
+    whole = Aside(docs, "doc_id", "text")
+    marked = whole.frame.withColumn("mark", F.xxhash64(F.col("text").cast("string")))
+    found = durable(fingerprints(marked, words, ("doc_id", "mark")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     kept = _labelled(found, row, threshold).groupBy("label").agg(F.min("least_id").alias("kept"))
-    kept = kept.select(F.col("kept.doc_id").alias("_kept"), F.col("kept._mark").alias("_kept_mark"))
-    same = marked["doc_id"].eqNullSafe(kept["_kept"]) & (marked["_mark"] == kept["_kept_mark"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    kept = kept.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.mark").alias("kept_mark"))
+    same = marked["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (marked["mark"] == kept["kept_mark"])
+    return whole.back(marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "mark"]))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash classes of all documents: three-word shingles, links at two or fewer differing bits."""
+    """SimHash classes of all documents: three-word shingles, links at two or fewer differing bits. Edge cases as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
