@@ -1,11 +1,12 @@
 """Personal data by candidate gradient boosting, in DataFrame and SQL functions only.
 
 Four base kinds (email, ip, card, phone) have fixed formats; whatever meets them is a span. Wider generators propose
-further candidates of the same kinds: spelled-out or bracketed emails, IPv6 addresses, card-like groups with other
-separators, national and prefixed phone numbers. Boosted trees weigh a candidate's format and the words around it; a
-threshold per kind, calibrated to a precision on held-back examples, selects. The trees are fitted on the driver on a
-bounded set of examples made from format rules (there are no labelled spans), and run on the executors as a SQL
-expression.
+further, overlapping candidates: spelled-out or bracketed emails, IPv6 addresses, card numbers with other separators,
+national and prefixed phone numbers, and, as a fifth kind, long random strings that may be secrets. Boosted trees weigh a
+candidate's format and the words around it; a threshold for each kind, calibrated to a precision on held-back examples,
+selects. The trees are fitted on the driver on bounded examples: matches of the base formats in a sample of the documents,
+whose labels say whether they are valid or near misses (a failed Luhn sum, an octet over 255, too few or many digits), and
+examples made from format rules for the formats that the documents may lack. On the executors they are a SQL expression.
 
 Every pattern is written so that a regular-expression engine needs linear time and constant stack: possessive loops, and
 starts only where a run of the pattern's first characters begins.
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import table
+from .common import Aside, hash_bound, only, table
 
 KINDS = ("email", "ip", "card", "phone")
+EVERY = (*KINDS, "secret")
 PRECISION = 0.99
 EXAMPLES = 6000
+SAMPLE, SAMPLED = 4000, 4000  # documents that are looked through for examples, and examples taken from them
 
 #: The base formats. Possessive forms match what the plain greedy ones do, as nothing after a loop can match inside it.
 BASE = {
@@ -41,6 +44,7 @@ WIDE = (
     ("ip", r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+(?![0-9A-Fa-f:])"),
     ("card", r"(?<![0-9./_])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
     ("phone", r"(?<![0-9+(.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])"),
+    ("secret", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[0-9A-Za-z+/_-]{24,128}+(?![0-9A-Za-z+/_-])"),
     ("phone", r"(?<![0-9+])00[1-9][0-9]{0,2}[\x20.-][0-9]{1,4}(?:[\x20.-][0-9]{2,4}){2,3}(?![0-9])"),
 )
 BEFORE, AFTER = 24, 12
@@ -48,9 +52,11 @@ HINTS = {
     "contact": r"(?:tel|phone|call|fax|mobile|cell|telefon|handy|tél|tel[eé]fono|m[oó]vil|appel)[\s:.]*$",
     "payment": r"(?:card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|pan)[\s:.#]*$",
     "address": r"(?:mail|e-mail|contact|write to|ip|host|server|address|from)[\s:.]*$",
+    "secret": r"(?:token|key|secret|passw(?:or)?d|pwd|auth|bearer|credential|signature)[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$",
+    "digest": r"(?:sha-?[0-9]*|md5|commit|revision|checksum|hash|etag|digest|build|uuid|blob)[\"']?\s*[:=@/]?\s*[\"']?$",
     "number": r"(?:order|invoice|no|nr|num|page|p|id|ref|version|v|isbn|section|art|item|part|serial|#|\$|€|£)[\s:.#]*$",
 }
-FEATURES = ("digits", "letters", "length", "separators", "kinds_of_separator", "groups", "parentheses", "leading_zero", "luhn", "contact", "payment", "address", "number", "after_unit", "joined", "ten_digits")
+FEATURES = ("digits", "letters", "length", "separators", "kinds_of_separator", "groups", "parentheses", "leading_zero", "luhn", "contact", "payment", "address", "secret", "digest", "number", "after_unit", "in_run", "joined", "ten_digits")
 
 
 def luhn(digits: Column) -> Column:
@@ -86,23 +92,24 @@ def _located(text: Column, pattern: str, need: str) -> Column:
     return F.struct(pieces.alias("pieces"), found.alias("found"))
 
 
-def _spans(at: Column) -> Column:
-    """array<struct<start, end, value, before, after>> of a located struct; code points, ends exclusive."""
-    lengths = F.transform(at["found"], lambda v: F.length(v))
-    steps = F.zip_with(F.slice(at["pieces"], F.lit(1), F.size(at["found"])), lengths, lambda p, n: F.struct(F.length(p).alias("gap"), n.alias("n")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+_POWERS = [1 << k for k in range(31)]
+
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end")))).alias("out"))
+def running(values: Column, join) -> Column:
+    """Each element joined with all before it, for an associative ``join``, in n log n steps."""
+    steps = F.filter(F.array(*map(F.lit, _POWERS)), lambda k: k < F.size(values))
+    return F.aggregate(steps, values, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= k, join(x, F.get(acc, i - k))).otherwise(x)))
 
-    places = F.aggregate(steps, state, step, lambda acc: acc["out"])
+
+def _spans(at: Column) -> Column:
+    """array<struct<start, end, value, before, after>> of a located struct; code points, ends exclusive."""
+    n = F.size(at["found"])
+    ends = running(F.zip_with(F.slice(at["pieces"], F.lit(1), n), at["found"], lambda p, v: F.length(p) + F.length(v)), lambda x, y: x + y)
     return F.transform(
-        places,
-        lambda p, i: F.struct(
-            p["start"].alias("start"),
-            p["end"].alias("end"),
+        ends,
+        lambda end, i: F.struct(
+            (end - F.length(F.get(at["found"], i))).alias("start"),
+            end.alias("end"),
             F.get(at["found"], i).alias("value"),
             F.lower(F.right(F.get(at["pieces"], i), F.lit(BEFORE))).alias("before"),
             F.lower(F.left(F.get(at["pieces"], i + 1), F.lit(AFTER))).alias("after"),
@@ -127,6 +134,7 @@ def _features(c: Column) -> dict[str, Column]:
         "leading_zero": flag(value.startswith("0")),
         "luhn": flag(F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(F.lit(False))),
         "after_unit": flag(after.rlike(r"^\s?(?:%|eur|usd|km|kg|cm|mm|mb|gb|pp|pages|am|pm|[/:=*])")),
+        "in_run": flag(before.rlike(r"[0-9][\x20.,;:|/-]{1,2}$") | after.rlike(r"^[\x20.,;:|/-]{1,2}[0-9]")),
         "joined": flag(before.rlike(r"[\p{L}0-9_/#$€£]$") | after.rlike(r"^[\p{L}0-9_]")),
         "ten_digits": flag(F.length(digits) == 10),
     }
@@ -148,7 +156,7 @@ def examples(seed: int = 5, n: int = EXAMPLES) -> list[tuple[str, str, str, str,
 
     out = []
     for _ in range(n):
-        kind = pick(*KINDS)
+        kind = pick(*EVERY)
         good = rng.random() < 0.6
         before = pick("", word() + " ", word() + ", ", word() + " " + word() + " ")
         after = pick("", " " + word(), ".", ", " + word())
@@ -164,6 +172,16 @@ def examples(seed: int = 5, n: int = EXAMPLES) -> list[tuple[str, str, str, str,
                 value, before = ":".join(number(2) for _ in range(8)), before + pick("#", "id ", "no. ")
             else:
                 before += pick("", "ip ", "host ", "server: ")
+        elif kind == "secret":
+            size = pick(24, 32, 40, 40, 48, 64)
+            letters = pick("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+            value = "".join(rng.choice(list(letters), size))
+            if good:
+                before += pick("token = ", "token: ", "api_key=", "secret: ", "password = ", "auth ", "key ") + pick('"', "'", "")
+            elif rng.random() < 0.5:
+                before += pick("commit ", "sha256:", "md5 ", "revision ", "checksum: ", "build ")
+            else:
+                value = pick("/", "-", "_").join(word() for _ in range(6)) + "/" + number(4)
         elif kind == "card":
             mark = pick(".", "/", "_")
             digits = with_luhn(16) if good else number(16)
@@ -174,9 +192,12 @@ def examples(seed: int = 5, n: int = EXAMPLES) -> list[tuple[str, str, str, str,
                 value = pick(f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"00{pick('1', '44', '49', '33')} {number(3)} {number(3)} {number(4)}")
                 before += pick("", "tel ", "call ", "phone: ", "mobile ", "fax ")
             else:
-                value = pick(f"{number(2)}.{number(3)}.{number(3)}", f"{number(4)} {number(4)} {number(4)}", f"{number(2)} {number(3)} {number(3)}", f"{number(4)}-{number(4)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}")
-                before += pick("order ", "no. ", "page ", "ref ", "isbn ", "$", "version ", "#")
+                value = pick(f"{number(2)}.{number(3)}.{number(3)}", f"{number(4)} {number(4)} {number(4)}", f"{number(2)} {number(3)} {number(3)}", f"{number(2)} {number(3)} {number(4)}", f"{number(3)} {number(3)} {number(3)}", f"{number(4)}-{number(4)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}")
+                before += pick("", "", "order ", "no. ", "page ", "ref ", "isbn ", "$", "version ", "#")
                 after = pick(after, " eur", "%", " km", "/", ":")
+                if rng.random() < 0.4:  # one of a row of numbers
+                    mark = pick(" ", ", ", "-", ".")
+                    before, after = pick("", word() + " ") + number(3) + mark, pick("", mark + number(3))
         out.append((kind, value, before[-BEFORE:].lower(), after[:AFTER].lower(), int(good)))
     return out
 
@@ -186,76 +207,120 @@ def _made() -> tuple:
     return tuple(examples())
 
 
-def fit(spark: SparkSession) -> dict[str, tuple[str, float]]:
+def _sampled(docs: DataFrame) -> DataFrame:
+    """(kind, value, before, after, label) of matches of the base formats in a sample of texts, those of least hash."""
+    rows = max(1, docs.count())
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    some = docs.filter(F.xxhash64("text", F.lit("sample")) <= hash_bound(SAMPLE / rows)).select(text.alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    located = some.select(*(_located(F.col("text"), BASE[k], NEEDS[k] if k == "email" else BASE[k]).alias(k) for k in KINDS))
+    named = lambda k: lambda s: F.struct(F.lit(k).alias("kind"), s["value"].alias("value"), s["before"].alias("before"), s["after"].alias("after"))
+    each = F.concat(*(F.transform(_spans(F.col(k)), named(k)) for k in KINDS))
+    found = located.select(F.explode(each).alias("s")).select("s.*").filter((F.length("value") >= 6) & (F.length("value") <= 80))
+    valid = F.coalesce(*(F.when(F.col("kind") == k, _valid(k, F.col("value"))) for k in KINDS))
+    return found.withColumn("label", valid.cast("int")).orderBy(F.xxhash64("value", "before"), "kind").limit(SAMPLED)
+
+
+def fit(docs: DataFrame) -> dict[str, tuple[str, float]]:
     """For each kind the trees as SQL over the features' names, and the calibrated threshold on the log odds."""
-    rows = spark.createDataFrame(list(_made()), "kind string, value string, before string, after string, label int")
+    made = docs.sparkSession.createDataFrame(list(_made()), "kind string, value string, before string, after string, label int")
+    rows = made.withColumn("wide", F.lit(True)).unionByName(_sampled(docs).withColumn("wide", F.lit(False)))
     c = F.struct("value", "before", "after")
-    found = rows.select("kind", "label", F.xxhash64("value", "before").alias("h"), *[v.alias(k) for k, v in _features(c).items()]).collect()
+    found = rows.select("kind", "label", "wide", F.xxhash64("value", "before").alias("h"), *[v.alias(k) for k, v in _features(c).items()]).collect()
     out = {}
-    for kind in KINDS:
+    for kind in EVERY:
         own = sorted((r for r in found if r["kind"] == kind), key=lambda r: (r["h"], r["label"]))
         x, y = np.array([[r[f] for f in FEATURES] for r in own]), np.array([r["label"] for r in own])
-        back = np.arange(len(own)) % 4 == 0
+        back = np.array([r["h"] % 4 == 0 for r in own], dtype=bool)  # one value is on one side
         model = boosting.fit(x[~back], y[~back], trees=20, depth=3)
+        back &= np.array([r["wide"] for r in own], dtype=bool)  # the formats that are to be judged
         out[kind] = boosting.sql(model, [f"f.{k}" for k in FEATURES]), boosting.threshold(boosting.margin(model, x[back]), y[back], PRECISION)
     return out
 
 
-def find(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (default: all but text) with text, base and spans.
+_CANDIDATE = "struct<kind:string,s:struct<start:int,end:int,value:string,before:string,after:string>>"
+_SPAN = "array<struct<kind:string,start:int,end:int>>"
 
-    base and spans are arrays of struct<kind, start, end>, kinds in the order email, ip, card, phone, then by start;
-    positions are code points, ends exclusive. base holds the fixed formats, spans those and the candidates selected by
-    the trees, which never overlap a base span. A null text counts as empty and has no spans. One row per input row; an
-    empty table gives no rows. Columns named text, base or spans in ``columns`` are replaced.
-    """
-    keep = [c for c in (columns if columns is not None else docs.columns) if c.lower() not in ("text", "base", "spans")]
-    model = fit(docs.sparkSession)
-    text = F.col("text")
-    given = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    located = given.withColumns(
+
+def _tagged(kind: str):
+    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+
+
+def _found(texts: DataFrame, model: dict) -> DataFrame:
+    """``texts`` with base and spans beside its columns; text is a string and not null. Adds columns that begin with _."""
+    text, none = F.col("text"), F.array().cast(_SPAN)
+    located = texts.withColumns(
         {f"_{k}": _located(text, BASE[k], NEEDS[k]) for k in KINDS} | {f"_w{i}": _located(text, p, p) for i, (_, p) in enumerate(WIDE)}
     )
-    tagged = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     valid = lambda kind: lambda s: _valid(kind, s["value"])
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     base = {
-        k: F.when(F.size(F.col(f"_{k}.found")) > 0, F.transform(F.filter(_spans(F.col(f"_{k}")), valid(k)), tagged(k))).otherwise(none) for k in KINDS
+        k: F.when(F.size(F.col(f"_{k}.found")) > 0, F.transform(F.filter(_spans(F.col(f"_{k}")), valid(k)), _tagged(k))).otherwise(none) for k in KINDS
     }
-    based = located.withColumn("base", F.concat(*(base[k] for k in KINDS)))
-
-    def selected(i: int, kind: str) -> Column:
-        score, least = model[kind]
-        if not np.isfinite(least):
-            return none
-        # the features as one field f of each candidate, so that the trees' expression names them
-        with_features = F.transform(
-            _spans(F.col(f"_w{i}")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.struct(*[v.alias(k) for k, v in _features(s).items()]).alias("f"))
+    proposal = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s"))
+    # all candidates of the wider generators, with their kinds
+    proposed = F.concat(
+        *(
+            F.when(F.size(F.col(f"_w{i}.found")) > 0, F.transform(_spans(F.col(f"_w{i}")), proposal(kind)))
+            .otherwise(F.array().cast(f"array<{_CANDIDATE}>"))
+            for i, (kind, _) in enumerate(WIDE)
         )
-        clear = F.filter(with_features, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        name = f"_c{i}"
-        return clear, F.expr(
-            f"transform(filter({name}, s -> {score.replace('f.', 's.f.')} >= {least!r}D), s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.end))"
+    )
+    any_wide = F.exists(F.array(*(F.size(F.col(f"_w{i}.found")) for i in range(len(WIDE)))), lambda n: n > 0)
+    based = located.withColumn("base", F.concat(*(base[k] for k in KINDS))).withColumn("_all", F.when(any_wide, proposed))
+    # base spans and candidates in order: a candidate is clear of base spans if none before it ends, and none after it begins, inside
+    order = F.array_sort(
+        F.concat(
+            F.transform("base", lambda b: F.struct(b["start"].alias("start"), F.lit(-1).alias("at"), b["end"].alias("end"), F.lit(None).cast(_CANDIDATE).alias("c"))),
+            F.transform("_all", lambda c, i: F.struct(c["s"]["start"].alias("start"), i.alias("at"), c["s"]["end"].alias("end"), c.alias("c"))),
         )
+    )
+    far = 2**31 - 1
+    placed = based.withColumn("_order", F.when(any_wide, order))
+    placed = placed.withColumn("_ended", running(F.transform("_order", lambda x: F.when(x["at"] < 0, x["end"]).otherwise(F.lit(0))), F.greatest))
+    placed = placed.withColumn("_next", F.reverse(running(F.reverse(F.transform("_order", lambda x: F.when(x["at"] < 0, x["start"]).otherwise(F.lit(far)))), F.least)))
+    # no column stands inside these functions, as the planner would put its whole computation there
+    zipped = F.arrays_zip("_order", "_ended", "_next")
+    clear = F.filter(zipped, lambda z: (z["_order"]["at"] >= 0) & (z["_ended"] <= z["_order"]["start"]) & (z["_next"] >= z["_order"]["end"]))
+
+    def judged(z):
+        x, c = z["_order"], z["_order"]["c"]
+        return F.struct(c["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.struct(*[v.alias(k) for k, v in _features(c["s"]).items()]).alias("f"))
+
+    # the features as one field f of each candidate, so that the trees' expression names them
+    weighed = placed.withColumn("_clear", F.transform(clear, judged))
+    enough = " ".join(f"WHEN '{k}' THEN ({score.replace('f.', 's.f.')}) >= {least!r}D" for k, (score, least) in model.items() if np.isfinite(least))
+    chosen = F.expr(f"transform(filter(_clear, s -> CASE s.kind {enough} ELSE false END), s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end))") if enough else none
+    rank = lambda s: F.create_map(*[x for i, k in enumerate(EVERY) for x in (F.lit(k), F.lit(i))])[s["kind"]]
+    chosen = weighed.withColumn("_chosen", F.coalesce(chosen, none))
+    ordered = F.array_sort(F.transform(F.concat("base", "_chosen"), lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    united = chosen.withColumn("_united", F.when(F.size("_chosen") > 0, ordered))
+    once = F.filter("_united", lambda s, i: (i == 0) | (s != F.get("_united", i - 1)))
+    spans = F.when(F.size("_chosen") > 0, F.transform(once, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    return _held(united.withColumn("_spans", F.coalesce(spans, F.col("base"))), "_spans").withColumnRenamed("_spans", "spans")
+
+
+def _held(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as it is, but a filter on the column ``name`` stays above what computes it.
+
+    Pushed down, the filter would hold that computation over and over, which the planner can't take.
+    """
+    marked = df.withColumn("_place", F.monotonically_increasing_id())
+    return marked.withColumn(name, F.when(F.col("_place") >= 0, F.col(name))).drop("_place")
 
-    for i, (kind, _) in enumerate(WIDE):
-        chosen = selected(i, kind)
-        if isinstance(chosen, tuple):
-            clear, expression = chosen
-            based = based.withColumn(f"_c{i}", F.when(F.size(F.col(f"_w{i}.found")) > 0, clear)).withColumn(f"_s{i}", F.coalesce(expression, none))
-        else:
-            based = based.withColumn(f"_s{i}", chosen)
-    order = {k: i for i, k in enumerate(KINDS)}
-    rank = lambda s: F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])[s["kind"]]
-    wide = F.concat(*[F.col(f"_s{i}") for i in range(len(WIDE))])
-    all_spans = F.when(
-        F.size(wide) > 0,
-        F.transform(
-            F.array_sort(F.transform(F.concat("base", wide), lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
-            lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
-        ),
-    ).otherwise(F.col("base"))
-    return based.select(*keep, "text", "base", F.array_distinct(all_spans).alias("spans"))
+
+def find(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (default: all but text) with text, base and spans.
+
+    base and spans are arrays of struct<kind, start, end>, kinds in the order email, ip, card, phone, secret, then by
+    start; positions are code points, ends exclusive. base holds the fixed formats, spans those and the candidates
+    selected by the trees, which never overlap a base span but may overlap each other. A null text counts as empty and has
+    no spans. One row per input row; an empty table gives no rows. Columns named text, base or spans in ``columns`` are
+    replaced; others may have any names.
+    """
+    keep = [c for c in (columns if columns is not None else docs.columns) if c.lower() not in ("text", "base", "spans")]
+    whole = Aside(docs, "text")
+    found = _found(whole.frame.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))), fit(only(docs, "text")))
+    packed = {n: F.col(f"_row.c{i}") for i, n in enumerate(whole.names) if i not in whole.read}
+    return found.select(*(packed[c].alias(c) for c in keep), "text", "base", "spans")
 
 
 def written(spans: Column) -> Column:
@@ -263,35 +328,46 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+CHUNK = 1024
+
+
+def _between(start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of the text by its chunks, in time of their length."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    own = F.array_join(F.slice(F.col("_chunks"), first + 1, last - first + 1), "")
+    return F.when(end > start, F.substr(own, start - first * CHUNK + 1, end - start)).otherwise(F.lit(""))
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of its text replaced by its kind in brackets; other columns as given, null texts stay null.
+    """``docs`` with each span of its text replaced by its kind in brackets; other columns as given, whatever their names.
 
-    Overlapping spans are replaced as one, under the name of the one that starts first (the longest of those).
+    Overlapping spans are replaced as one, under the name of the one that starts first (the longest of those). A null text
+    stays null; n_chars, if there is such a column, becomes the new length where a text changes. An empty table gives no
+    rows.
     """
-    names = docs.columns
-    marked = docs.withColumn("_null", F.col("text").isNull())
-    found = find(marked)
+    read = ["text"] + [n for n in ("n_chars",) if n in docs.columns]
+    whole = Aside(docs, *read)
+    null = F.col("text").isNull()
+    found = _found(whole.frame.withColumn("_null", null).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))), fit(only(docs, "text")))
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("e"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        inside = s["start"] < acc["at"]
-        gap = F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], -s["e"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).alias("out"),
-        )
-
-    done = F.aggregate(by_start, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["at"] + 1)))
-    text = F.when(F.col("_null"), F.lit(None)).when(F.size("spans") > 0, done).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    some = F.size("spans") > 0
+    found = found.withColumn("_sorted", F.when(some, by_start)).withColumn("_until", running(F.transform("_sorted", lambda s: -s["e"]), F.greatest))
+    found = found.withColumn("_chunks", F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_until", i - 1))
+    pieces = F.transform(
+        "_sorted",
+        lambda s, i: F.when(s["start"] < before(i), F.lit("")).otherwise(F.concat(_between(before(i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))),
+    )
+    rest = _between(F.element_at("_until", -1), F.char_length("text"))
+    text = F.when(F.col("_null"), F.lit(None)).when(some, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
+    out = found.withColumn("_new", text)
+    if "n_chars" in read:
+        out = out.withColumn("n_chars", F.when(some, F.char_length("_new").cast(whole.frame.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return whole.back(_held(out, "_new").withColumn("text", F.col("_new")))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and spans of personal data in all documents."""
+    """Counts and spans of personal data in all documents. Edge cases as in ``find``."""
     found = find(table(spark, sf_dir, "documents"), ["doc_id"])
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(n, KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
