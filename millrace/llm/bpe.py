@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import only, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CACHE, CACHE_CHARS = 300_000, 64
@@ -138,7 +138,8 @@ def default_codec() -> tuple[str, str]:
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>, decoded binary): the whole text's ids, and the bytes that decoding them gives back.
 
-    A null text counts as empty: no ids, no bytes. One row per input row; other columns are ignored. The rank file is
+    A null text counts as empty: no ids, no bytes. One row per input row, null ids and repeated rows included; other
+    columns are ignored; an empty table gives no rows. The rank file is
     read on the executors, where the tokenizer package is installed; without ``path`` each worker asks that package.
     """
 
@@ -154,9 +155,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 decoded = pa.array([tool.decode(array("i", x)) for x in packed], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids.cast(pa.list_(pa.int32())), decoded], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary"
-    )
+    given = only(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
@@ -169,5 +169,5 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of all documents and the exact round trip, as digests."""
+    """Token ids of all documents and the exact round trip, as digests. Edge cases as in ``encode``."""
     return digests(encode(table(spark, sf_dir, "documents")))

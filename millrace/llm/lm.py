@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, only, table
 
 DEPTH = 5
 LEAST = 16
@@ -374,8 +374,8 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     returned; null ids are allowed; other columns are ignored; an empty ``docs`` gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    trained = count(training.select(F.col("text").cast("string").alias("text")))
+    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    trained = count(only(training, "text").select(F.col("text").cast("string").alias("text")))
     counts = durable(trained.unionByName(occurring(texts)).groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     ends = total[LAST]["n"] if LAST in total else 0
@@ -516,7 +516,7 @@ def held_out():
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model and base scores of all documents, learned from those that aren't held out."""
+    """Model and base scores of all documents, learned from those that aren't held out. Edge cases as in ``scores``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scores(docs, docs.filter(~held_out()))
     return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
