@@ -148,10 +148,7 @@ def recover(ledger: Ledger, sink: Sink) -> dict[str, str]:
     """
     out = {}
     for batch_id in ledger.list_recovery_candidates():
-        row = ledger.db.execute(
-            "SELECT attempt_id, destination, idempotency_key FROM commit_attempts WHERE batch_id = ? AND attempt_status IN ('started', 'resolving', 'unknown') ORDER BY attempt_no DESC LIMIT 1",
-            (batch_id,),
-        ).fetchone()
+        row = ledger.open_attempt(batch_id)
         if row:
             settle(sink, ledger, row["attempt_id"], Locator(row["destination"], row["idempotency_key"]))
         if ledger.batch_status(batch_id) == "schema_revalidating":

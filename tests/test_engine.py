@@ -210,11 +210,17 @@ def test_ledger_path_of_a_batch(spark):
     ledger.record_cleanup("batch-1", "file:///x/0", "deleted")
     assert ledger.list_orphan_candidates() == [("batch-1", "file:///x/1")]
     frames = ledger.frames(spark)
-    assert reconcile.recovery_candidates(frames["batches"].select("batch_id", "batch_status"), frames["commit_attempts"].select("batch_id", "attempt_status")).count() == 1
-    orphans = reconcile.orphan_candidates(frames["batch_files"].select("batch_id", "file_uri"), frames["batches"], frames["cleanup_records"].select("batch_id", "file_uri"))
+    assert reconcile.recovery_candidates(frames["batches"].select("batch_id", "batch_status"), frames["attempts"].select("batch_id", "attempt_status")).count() == 1
+    orphans = reconcile.orphan_candidates(frames["files"].select("batch_id", "file_uri"), frames["batches"], frames["cleanups"].select("batch_id", "file_uri"))
     assert [tuple(r) for r in orphans.collect()] == [("batch-1", "file:///x/1")]
-    with pytest.raises(Exception):
+    with pytest.raises(ContractError):
         ledger.record_cleanup("batch-1", "file:///unknown", "deleted")
+    assert [w for sort, _, w in ledger.words("batch-1") if sort == "batch"] == [
+        "registered", "files_written", "commit_started", "schema_revalidating", "commit_started", "committed", "checkpoint_pending", "checkpointed", "quarantined"
+    ]
+    assert [w for sort, _, w in ledger.words("batch-1") if sort == "link"] == ["pending", "durable"]
+    links = reconcile.last_durable_checkpoints(frames["links"], frames["batches"]).collect()
+    assert [tuple(r) for r in links] == [("t", "s", "cp-2")]
 
 
 # ---- sinks
