@@ -7,7 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import content_digest
+from ..functions.text import mutation_signature
 from ..model import COLUMNS, HOMOGENEOUS, ContractError
+from .validate import first_violation
 
 
 def mismatches(rows: DataFrame, by: list[str], columns=HOMOGENEOUS) -> DataFrame:
@@ -56,33 +59,60 @@ class Normalized:
     ordering_max: int
     checkpoint_start: str
     checkpoint_end: str
+    stats: tuple | None = None  # counts, bytes and digests by operation, where the rows are those that were profiled
 
 
-def normalize_batch(rows: DataFrame, checkpoint_end: str, checkpoint_start: str | None = None) -> Normalized:
-    """Check a batch (landed columns and pos) and reduce it if its table is keyed; raises ContractError.
+def statistics(rows: DataFrame, *more) -> list:
+    """Count, bytes and content digest of each operation, and further aggregates: one grouped pass, three rows at most."""
+    signature = mutation_signature()
+    return rows.groupBy("op").agg(F.sum(F.octet_length(signature).cast("long")).alias("bytes"), *content_digest(signature), *more).collect()
 
-    Keyed batches come out in the order of their key text, append-only ones in arrival order; ``pos`` is renumbered to
-    that order's sort key and kept for the writer.
+
+def profile(rows: DataFrame, keyed: bool) -> list:
+    """Everything that is asked of a batch's rows before they are written, by operation, in one pass.
+
+    Besides ``statistics``: the first row that breaks a rule of its own (if there is a column key_names), minima and maxima
+    of the columns that must agree and of the ordering, and for keyed batches whether a key's ordering ever falls.
+    """
+    if keyed:
+        before = F.lag("ordering_value").over(Window.partitionBy("key_json").orderBy("pos"))
+        rows = rows.withColumn("_falls", F.coalesce(F.col("ordering_value") < before, F.lit(False)))
+    if "key_names" in rows.columns:
+        rows = rows.withColumn("_violation", first_violation())
+        broken = F.min(F.when(F.col("_violation").isNotNull(), F.struct("pos", F.col("_violation").alias("violation")))).alias("broken")
+    else:
+        broken = F.lit(None).cast("struct<pos:long,violation:string>").alias("broken")
+    falls = F.max("_falls") if keyed else F.lit(False)
+    spans = [f(c).alias(f"{n}_{c}") for c in (*HOMOGENEOUS, "ordering_value") for n, f in (("min", F.min), ("max", F.max))]
+    return statistics(rows, broken, falls.alias("falls"), *spans)
+
+
+def normalize_batch(rows: DataFrame, checkpoint_end: str, checkpoint_start: str | None = None, keyed: bool | None = None) -> Normalized:
+    """Check a batch (landed columns and pos, perhaps key_names) and reduce it if its table is keyed; raises ContractError.
+
+    Keyed batches come out in the order of their key text, append-only ones in arrival order; ``pos`` is kept for the
+    writer. ``keyed`` saves a look at the rows where the mode is known.
     """
-    stats = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("ordering_value").alias("low"),
-        F.max("ordering_value").alias("high"),
-        *[F.min(c).alias(f"min_{c}") for c in HOMOGENEOUS],
-        *[F.max(c).alias(f"max_{c}") for c in HOMOGENEOUS],
-    ).first()
-    if not stats["n"]:
+    if keyed is None:
+        first = rows.select("table_mode").first()
+        keyed = bool(first) and first["table_mode"] == "keyed_upsert"
+    found = profile(rows, keyed)
+    if not found:
         raise ContractError("batch must not be empty")
+    broken = min((tuple(r["broken"]) for r in found if r["broken"]), default=None)
+    if broken:
+        raise ContractError(f"{broken[0]}: {broken[1]}")
+    low = {c: min(r[f"min_{c}"] for r in found) for c in (*HOMOGENEOUS, "ordering_value")}
+    high = {c: max(r[f"max_{c}"] for r in found) for c in (*HOMOGENEOUS, "ordering_value")}
     for c in HOMOGENEOUS:
-        if stats[f"min_{c}"] != stats[f"max_{c}"]:
+        if low[c] != high[c]:
             raise ContractError(f"{c} mismatch within batch")
-    mode = stats["min_table_mode"]
     out = rows.select(*COLUMNS, "pos")
-    if mode == "keyed_upsert":
-        if not ordering_violations(out.select("key_json", "ordering_value", "pos"), ["key_json"]).isEmpty():
+    if low["table_mode"] == "keyed_upsert":
+        if any(r["falls"] for r in found):
             raise ContractError("ordering violation quarantine")
         out = latest_by_key(out, ["key_json"]).select(*COLUMNS, "pos")
     return Normalized(
-        out, stats["min_table_id"], mode, stats["min_source_id"], stats["min_source_class"], stats["min_schema_version"], stats["min_ordering_field"],
-        stats["low"], stats["high"], checkpoint_start or checkpoint_end, checkpoint_end,
+        out, low["table_id"], low["table_mode"], low["source_id"], low["source_class"], low["schema_version"], low["ordering_field"],
+        low["ordering_value"], high["ordering_value"], checkpoint_start or checkpoint_end, checkpoint_end, None if low["table_mode"] == "keyed_upsert" else tuple(found),
     )

@@ -14,7 +14,7 @@ from ..functions.text import mutation_signature
 from ..model import COLUMNS, FILE_BYTES, ROW_GROUP_BYTES, BatchManifest, ManifestFile
 from ..sources.files import Files
 from .aggregate import fingerprint_parts
-from .normalize import Normalized
+from .normalize import Normalized, statistics
 
 
 @dataclass(frozen=True)
@@ -66,10 +66,9 @@ def materialize(batch: Normalized, label: str | None, folder: str, config: Write
     The path depends on table and batch alone, so a replay overwrites its own files. The batch's content hash is of
     its rows, whatever files they are in.
     """
-    rows = batch.rows.persist()
+    rows = batch.rows if batch.stats else batch.rows.persist()  # profiled rows are held already by whoever profiled them
     try:
-        signature = mutation_signature()
-        stats = rows.groupBy("op").agg(F.sum(F.octet_length(signature).cast("long")).alias("bytes"), *content_digest(signature)).collect()
+        stats = batch.stats or statistics(rows)
         n, size = sum(r["n"] for r in stats), sum(r["bytes"] for r in stats)
         content_hash = digest_text(stats)
         name = label.rsplit("/", 1)[-1].rsplit(".", 1)[0] if label else f"batch-{content_hash}"
@@ -81,7 +80,8 @@ def materialize(batch: Normalized, label: str | None, folder: str, config: Write
             found = parts.result()
         fingerprint = stable_hash_text(*(found["parts"] if found else []))
     finally:
-        rows.unpersist()
+        if not batch.stats:
+            rows.unpersist()
     now = datetime.now(UTC)
     created = f"{int(now.timestamp())}:{now.microsecond * 1000:09d}"
     return BatchManifest(

@@ -6,10 +6,11 @@ import json
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import sorted_map_json
 from ..model import COLUMNS, OPERATIONS, ContractError
 from ..session import ship
 from .files import Files
@@ -103,40 +104,88 @@ def decode(text: str) -> dict:
     return row
 
 
-_DECODED = [
-    ("op", pa.string()), ("key_json", pa.string()), ("after_json", pa.string()), ("before_json", pa.string()), ("ordering_value", pa.int64()),
-    ("source_checkpoint", pa.string()), ("source_event_id", pa.string()), ("schema_version", pa.int32()), ("ingestion_ts", pa.timestamp("us")),
-    ("source_metadata_json", pa.string()), ("key_names", pa.list_(pa.string())), ("error", pa.string()),
-]
-
-
-SCAN_SCHEMA = (
-    "file string, pos long, op string, key_json string, after_json string, before_json string, ordering_value long, source_checkpoint string, source_event_id string, "
-    "schema_version int, ingestion_ts timestamp_ntz, source_metadata_json string, key_names array<string>, error string"
+_FIELDS = (
+    "op string, key_json string, after_json string, before_json string, ordering_value long, source_checkpoint string, source_event_id string, "
+    "schema_version int, ingestion_secs long, source_metadata_json string, key_names array<string>, error string"
 )
-
-
-def _decode_batches(batches):
-    names = [n for n, _ in _DECODED]
-    for batch in batches:
-        out = {n: [] for n in names}
-        for text in batch.column("line").to_pylist():
-            try:
-                row = decode(text) | {"error": None}
-            except (ValueError, OverflowError, OSError) as error:
-                row = {"error": str(error)}
-            for n in names:
-                out[n].append(row.get(n))
-        columns = [pa.array(out[n], t) for n, t in _DECODED]
-        yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("pos"), *columns], ["file", "pos", *names])
+DECODED = [x.split()[0] for x in _FIELDS.replace("ingestion_secs", "ingestion_ts").split(", ")]
+
+#: Lines that the JVM's writer would escape or order in another way than ``canonical``.
+_ODD = r"\\u|[\x{10000}-\x{10FFFF}]"
+_LATEST = 253402300799
+
+
+def _told(line: str | None) -> str | None:
+    """What ``decode`` says of a line, as JSON text."""
+    if line is None:
+        return None
+    try:
+        row = decode(line)
+        row["ingestion_secs"] = int(row.pop("ingestion_ts").replace(tzinfo=UTC).timestamp())
+    except (ValueError, OverflowError, OSError, RecursionError) as error:
+        row = {"error": str(error) or type(error).__name__}
+    return json.dumps(row)
+
+
+def _slowly(lines: pd.Series) -> pd.Series:
+    return lines.map(_told, na_action="ignore")
+
+
+def decoded(lines: DataFrame) -> DataFrame:
+    """``lines`` (file, pos, line, others) with the decoded columns in place of line.
+
+    Plain records are decoded in the JVM by a variant of each line. A line is plain if it parses as one object with nothing
+    after it (it is parsed inside an object whose last field is named by the line's hash), holds whole numbers of 64 bits,
+    strings, booleans, nulls and objects only, and its fields are of the types that need no conversion. All others, wrong
+    ones among them, are told by ``decode`` itself, so results and error texts are the same.
+    """
+    mark = F.concat(F.lit("h"), F.hex(F.xxhash64("line")))
+    whole = F.try_parse_json(F.concat(F.lit('{"r":'), F.col("line"), F.lit(',"'), mark, F.lit('":0}')))
+    parsed = lines.withColumns({"_v": whole, "_odd": F.col("line").rlike(_ODD)}).withColumn("_s", F.schema_of_variant("_v"))
+    names = ("op", "key", "after", "before", "ordering_value", "source_checkpoint", "source_event_id", "schema_version", "ingestion_ts", "source_metadata")
+    parsed = parsed.withColumn("_f", F.struct(*(F.try_variant_get("_v", f"$.r.{n}", "variant").alias(n) for n in names), F.try_variant_get("_v", "$.r", "variant").alias("r")))
+    parsed = parsed.withColumn("_k", F.struct(*(F.coalesce(F.schema_of_variant(F.col(f"_f.{n}")), F.lit("VOID")).alias(n) for n in (*names, "r"))))
+    kind = lambda n: F.col(f"_k.{n}")
+    value = lambda n, t: F.try_variant_get("_v", f"$.r.{n}", t)
+    some = lambda n: kind(n) != "VOID"
+    is_plain = (
+        F.contains("_s", mark) & ~F.col("_s").rlike("ARRAY|DECIMAL|DOUBLE|FLOAT") & ~F.col("_odd") & kind("r").startswith("OBJECT<")
+        & (kind("op") == "STRING") & value("op", "string").isin(*OPERATIONS) & (kind("source_checkpoint") == "STRING")
+        & (kind("ordering_value") == "BIGINT") & (kind("schema_version") == "BIGINT") & value("schema_version", "bigint").between(-(2**31), 2**31 - 1)
+        & (kind("ingestion_ts") == "BIGINT") & value("ingestion_ts", "bigint").between(0, _LATEST)
+        & (kind("key").startswith("OBJECT<") | ~some("key")) & kind("source_event_id").isin("STRING", "BIGINT", "VOID")
+        & (~some("source_metadata") | kind("source_metadata").startswith("OBJECT<") & ~F.substr(kind("source_metadata"), F.lit(8)).rlike("BOOLEAN|VOID|OBJECT"))
+    )
+    parsed = parsed.withColumn("_plain", F.coalesce(is_plain, F.lit(False)))
+    slow = F.from_json(F.pandas_udf(_slowly, "string")(F.when(~F.col("_plain"), F.col("line"))), _FIELDS)
+    parsed = parsed.withColumn("_slow", slow)
+    text = lambda n: F.when(some(n), F.to_json(F.col(f"_f.{n}")))
+    key = F.coalesce(text("key"), F.lit("{}"))
+    plain = {
+        "op": value("op", "string"), "key_json": key, "after_json": text("after"), "before_json": text("before"), "ordering_value": value("ordering_value", "bigint"),
+        "source_checkpoint": value("source_checkpoint", "string"), "source_event_id": value("source_event_id", "string"), "schema_version": value("schema_version", "int"),
+        "ingestion_secs": value("ingestion_ts", "bigint"), "source_metadata_json": sorted_map_json(value("source_metadata", "map<string,string>")),
+        "key_names": F.json_object_keys(key), "error": F.lit(None).cast("string"),
+    }
+    both = {n: F.when(F.col("_plain"), c).otherwise(F.col(f"_slow.{n}")) for n, c in plain.items()}
+    seconds = both.pop("ingestion_secs")
+    both["ingestion_ts"] = F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    rest = [c for c in lines.columns if c != "line"]
+    return parsed.select(*rest, *(both[n].alias(n) for n in DECODED))
 
 
 def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, pos, decoded columns, error) of every line that isn't blank; pos is the line's number from one."""
+    """(file, block, pos, decoded columns, error) of every line that isn't blank, a file in as many tasks as it has splits.
+
+    The order of a file's lines is that of (block, pos). Of a file read alone pos has that order too, and is the line's
+    number from one in its first split.
+    """
     ship(spark)
-    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    lines = lines.select("file", (F.col("pos") + 1).cast("long").alias("pos"), F.trim(F.regexp_replace("line", r"[\r\t]", " ")).alias("line")).filter("line <> ''")
-    return lines.mapInArrow(_decode_batches, SCAN_SCHEMA)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"), F.btrim("value", F.lit(" \t\r")).alias("line")
+    )
+    return decoded(lines.filter("line <> ''").select("file", "block", (F.col("block") + F.col("place")).alias("pos"), "line"))
 
 
 @dataclass(frozen=True)
@@ -156,6 +205,7 @@ class Batch:
     label: str
     checkpoint_start: str | None
     checkpoint_end: str
+    table_mode: str | None = None
 
 
 class FileSource:
@@ -175,24 +225,26 @@ class FileSource:
     def discover(self) -> list[str]:
         return self.files.glob(f"{self.folder}/batch-*.jsonl")
 
-    def boundaries(self) -> list[dict]:
-        """file, checkpoint_start, checkpoint_end, records of each batch file in order."""
-        paths = self.discover()
-        if not paths:
-            return []
-        found = scan(self.spark, paths).groupBy("file").agg(
-            F.min_by("source_checkpoint", "pos").alias("checkpoint_start"),
-            F.max_by("source_checkpoint", "pos").alias("checkpoint_end"),
+    def boundaries(self, known: dict[str, dict] | None = None) -> list[dict]:
+        """file, checkpoint_start, checkpoint_end, records of each batch file in order; those ``known`` by path aren't read."""
+        paths, known = self.discover(), known or {}
+        new = [p for p in paths if p not in known]
+        if not new:
+            return [known[p] for p in paths]
+        found = scan(self.spark, new).groupBy("file").agg(
+            F.min_by("source_checkpoint", F.struct("block", "pos")).alias("checkpoint_start"),
+            F.max_by("source_checkpoint", F.struct("block", "pos")).alias("checkpoint_end"),
             F.count(F.lit(1)).alias("records"),
-            F.min(F.when(F.col("error").isNotNull(), F.struct("pos", "error"))).alias("broken"),
+            F.count("error").alias("broken"),
         )
         rows = {r["file"]: r.asDict() for r in found.collect()}  # a row for each file
         for file, row in sorted(rows.items()):
             if row["broken"]:
-                raise ContractError(f"{file}:{row['broken']['pos']}: {row['broken']['error']}")
+                first = scan(self.spark, [file]).filter("error is not null").orderBy("pos").select("pos", "error").first()
+                raise ContractError(f"{file}:{first['pos']}: {first['error']}")
         empty = {"checkpoint_start": "", "checkpoint_end": "", "records": 0}
         by_name = {k.rsplit("/", 1)[-1]: v for k, v in rows.items()}
-        return [by_name.get(p.rsplit("/", 1)[-1], empty) | {"file": p} for p in paths]
+        return [known.get(p) or by_name.get(p.rsplit("/", 1)[-1], empty) | {"file": p} for p in paths]
 
     def check(self) -> dict:
         bounds = self.boundaries()
@@ -202,14 +254,15 @@ class FileSource:
     def capabilities(self) -> list[str]:
         return sorted(CAPABILITIES + (KEYED_CAPABILITIES if self.table_mode == "keyed_upsert" else ()))
 
-    def open_capture(self, selection: Selection, resume: str | None = None) -> "Session":
+    def open_capture(self, selection: Selection, resume: str | None = None, known: dict[str, dict] | None = None) -> "Session":
+        """A session after the resume checkpoint; ``known`` are boundaries of files that were read before, by path."""
         if not selection.table_id.strip():
             raise ContractError("table_id is required")
         if selection.source_table != self.source_table:
             raise ContractError(f"unknown source table: {selection.source_table}")
         if selection.table_mode != self.table_mode:
             raise ContractError(f"table mode mismatch: {selection.table_mode}")
-        bounds = self.boundaries()
+        bounds = self.boundaries(known)
         cursor = 0
         if resume is not None:
             at = [i for i, b in enumerate(bounds) if b["checkpoint_end"] == resume]
@@ -240,11 +293,11 @@ class Session:
             F.lit(s.source_class).alias("source_class"),
             F.lit(s.table_mode).alias("table_mode"),
             F.lit(ORDERING_FIELD).alias("ordering_field"),
-            *[c for c in COLUMNS if c in {n for n, _ in _DECODED}],
+            *[c for c in COLUMNS if c in DECODED],
             "pos",
             "key_names",
         )
-        return Batch(rows.select(*COLUMNS, "pos", "key_names"), bound["file"].rsplit("/", 1)[-1], bound["checkpoint_start"], bound["checkpoint_end"])
+        return Batch(rows.select(*COLUMNS, "pos", "key_names"), bound["file"].rsplit("/", 1)[-1], bound["checkpoint_start"], bound["checkpoint_end"], s.table_mode)
 
     def checkpoint(self, source_id: str, checkpoint: str) -> None:
         if not source_id.strip() or not checkpoint.strip():

@@ -5,13 +5,10 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import functions as F
-
 from ..model import BatchManifest, ContractError
 from ..operators.ledger import Ledger
 from ..operators.normalize import normalize_batch
 from ..operators.sink import CommitRequest, Locator, Outcome, Sink
-from ..operators.validate import quarantine
 from ..operators.writer import WriterConfig, materialize
 from ..sources.jsonl import Batch, Session
 from .gates import Coordinator
@@ -74,11 +71,11 @@ def commit_batch(
     """Check, write and commit one admitted batch, and acknowledge it once its commit is durable; counts go to ``report``."""
     rows = batch.rows.persist()  # decoded once for checks, statistics and files
     try:
-        _, broken = quarantine(rows)
-        first = broken.agg(F.min(F.struct("pos", "violation")).alias("x")).first()["x"]
-        if first:
-            raise ContractError(f"{batch.label}:{first['pos']}: {first['violation']}")
-        normal = normalize_batch(rows, batch.checkpoint_end, batch.checkpoint_start)
+        keyed = batch.table_mode == "keyed_upsert" if batch.table_mode else None
+        try:
+            normal = normalize_batch(rows, batch.checkpoint_end, batch.checkpoint_start, keyed)
+        except ContractError as broken:
+            raise ContractError(f"{batch.label}:{broken}") from broken
         manifest = materialize(normal, f"{table}.{batch.label}", staging, config)
     finally:
         rows.unpersist()

@@ -14,7 +14,7 @@ from ..model import ContractError
 from ..operators.ledger import Ledger
 from ..operators.sink import Sink
 from ..operators.writer import WriterConfig
-from ..sources.jsonl import SCAN_SCHEMA, FileSource, Selection, _decode_batches
+from ..sources.jsonl import FileSource, Selection, decoded
 from .connector import RunReport, commit_batch
 from .gates import Coordinator
 
@@ -29,14 +29,15 @@ def start(
     after the table's last durable checkpoint are committed in the order of their names. A micro-batch that runs again
     after a failure finds nothing left to do. A file that sorts before a committed one is a contract error.
     """
-    report, gate, seen = RunReport(), Coordinator(), set()
+    report, gate, seen, bounds = RunReport(), Coordinator(), set(), {}
 
     def signal(files: DataFrame, _: int) -> None:
         names = {r["file"] for r in files.select("file").collect()}  # a row for each new file
         ledger = Ledger(ledger_path)
         try:
             durable = ledger.last_durable_checkpoint(selection.table_id)
-            session = source.open_capture(selection, durable[1] if durable else None)
+            session = source.open_capture(selection, durable[1] if durable else None, bounds)
+            bounds.update({b["file"]: b for b in session.bounds})  # files are read for their bounds once in a stream's life
             done = {b["file"].rsplit("/", 1)[-1] for b in session.bounds[: session.cursor]}
             late = {n.rsplit("/", 1)[-1] for n in names} & done - seen
             if late and seen:
@@ -60,8 +61,8 @@ def change_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Decoded records of new files as a stream: (file, pos, decoded columns, error)."""
     text = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "batch-*.jsonl").load(folder)
     lines = text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    lines = lines.select("file", (F.col("pos") + 1).cast("long").alias("pos"), F.trim("line").alias("line")).filter("line <> ''")
-    return lines.mapInArrow(_decode_batches, SCAN_SCHEMA)
+    lines = lines.select("file", (F.col("pos") + 1).cast("long").alias("pos"), F.btrim("line", F.lit(" \t\r")).alias("line")).filter("line <> ''")
+    return decoded(lines)
 
 
 def late_changes(changes: DataFrame) -> DataFrame:
