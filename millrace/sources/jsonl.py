@@ -110,8 +110,8 @@ _FIELDS = (
 )
 DECODED = [x.split()[0] for x in _FIELDS.replace("ingestion_secs", "ingestion_ts").split(", ")]
 
-#: Lines that the JVM's writer would escape or order in another way than ``canonical``.
-_ODD = r"\\u|[\x{10000}-\x{10FFFF}]"
+#: Types that aren't taken, and letters that the JVM would order in another way than ``canonical``, in a record's schema.
+_OTHER = r"ARRAY|DECIMAL|DOUBLE|FLOAT|[\x{10000}-\x{10FFFF}]"
 _LATEST = 253402300799
 
 
@@ -141,28 +141,28 @@ def decoded(lines: DataFrame) -> DataFrame:
     """
     mark = F.concat(F.lit("h"), F.hex(F.xxhash64("line")))
     whole = F.try_parse_json(F.concat(F.lit('{"r":'), F.col("line"), F.lit(',"'), mark, F.lit('":0}')))
-    parsed = lines.withColumns({"_v": whole, "_odd": F.col("line").rlike(_ODD)}).withColumn("_s", F.schema_of_variant("_v"))
-    names = ("op", "key", "after", "before", "ordering_value", "source_checkpoint", "source_event_id", "schema_version", "ingestion_ts", "source_metadata")
-    parsed = parsed.withColumn("_f", F.struct(*(F.try_variant_get("_v", f"$.r.{n}", "variant").alias(n) for n in names), F.try_variant_get("_v", "$.r", "variant").alias("r")))
-    parsed = parsed.withColumn("_k", F.struct(*(F.coalesce(F.schema_of_variant(F.col(f"_f.{n}")), F.lit("VOID")).alias(n) for n in (*names, "r"))))
-    kind = lambda n: F.col(f"_k.{n}")
+    parsed = lines.withColumn("_v", whole).withColumn("_s", F.schema_of_variant("_v"))
+    names = ("op", "ordering_value", "source_checkpoint", "source_event_id", "schema_version", "ingestion_ts", "source_metadata")
+    texts = {n: F.to_json(F.try_variant_get("_v", f"$.r.{n}", "variant")) for n in ("key", "after", "before")}
+    kinds = {n: F.coalesce(F.schema_of_variant(F.try_variant_get("_v", f"$.r.{n}", "variant")), F.lit("VOID")) for n in names}
+    parsed = parsed.withColumns({f"_t_{n}": F.nullif(c, F.lit("null")) for n, c in texts.items()} | {f"_k_{n}": c for n, c in kinds.items()})
+    kind = lambda n: F.col(f"_k_{n}")
     value = lambda n, t: F.try_variant_get("_v", f"$.r.{n}", t)
-    some = lambda n: kind(n) != "VOID"
     is_plain = (
-        F.contains("_s", mark) & ~F.col("_s").rlike("ARRAY|DECIMAL|DOUBLE|FLOAT") & ~F.col("_odd") & kind("r").startswith("OBJECT<")
+        # escapes are written back in another way, so lines with some go the other way
+        F.contains("_s", mark) & ~F.col("_s").rlike(_OTHER) & ~F.contains("line", F.lit("\\u")) & F.col("line").startswith("{")
         & (kind("op") == "STRING") & value("op", "string").isin(*OPERATIONS) & (kind("source_checkpoint") == "STRING")
         & (kind("ordering_value") == "BIGINT") & (kind("schema_version") == "BIGINT") & value("schema_version", "bigint").between(-(2**31), 2**31 - 1)
         & (kind("ingestion_ts") == "BIGINT") & value("ingestion_ts", "bigint").between(0, _LATEST)
-        & (kind("key").startswith("OBJECT<") | ~some("key")) & kind("source_event_id").isin("STRING", "BIGINT", "VOID")
-        & (~some("source_metadata") | kind("source_metadata").startswith("OBJECT<") & ~F.substr(kind("source_metadata"), F.lit(8)).rlike("BOOLEAN|VOID|OBJECT"))
+        & (F.col("_t_key").isNull() | F.col("_t_key").startswith("{")) & kind("source_event_id").isin("STRING", "BIGINT", "VOID")
+        & ((kind("source_metadata") == "VOID") | kind("source_metadata").startswith("OBJECT<") & ~F.substr(kind("source_metadata"), F.lit(8)).rlike("BOOLEAN|VOID|OBJECT"))
     )
     parsed = parsed.withColumn("_plain", F.coalesce(is_plain, F.lit(False)))
     slow = F.from_json(F.pandas_udf(_slowly, "string")(F.when(~F.col("_plain"), F.col("line"))), _FIELDS)
     parsed = parsed.withColumn("_slow", slow)
-    text = lambda n: F.when(some(n), F.to_json(F.col(f"_f.{n}")))
-    key = F.coalesce(text("key"), F.lit("{}"))
+    key = F.coalesce("_t_key", F.lit("{}"))
     plain = {
-        "op": value("op", "string"), "key_json": key, "after_json": text("after"), "before_json": text("before"), "ordering_value": value("ordering_value", "bigint"),
+        "op": value("op", "string"), "key_json": key, "after_json": F.col("_t_after"), "before_json": F.col("_t_before"), "ordering_value": value("ordering_value", "bigint"),
         "source_checkpoint": value("source_checkpoint", "string"), "source_event_id": value("source_event_id", "string"), "schema_version": value("schema_version", "int"),
         "ingestion_secs": value("ingestion_ts", "bigint"), "source_metadata_json": sorted_map_json(value("source_metadata", "map<string,string>")),
         "key_names": F.json_object_keys(key), "error": F.lit(None).cast("string"),

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import time
+from collections import deque
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
 from ..model import BatchManifest, ContractError
 from ..operators.ledger import Ledger
-from ..operators.normalize import normalize_batch
+from ..operators.normalize import Normalized, normalize_batch
 from ..operators.sink import CommitRequest, Locator, Outcome, Sink
 from ..operators.writer import WriterConfig, materialize
 from ..sources.jsonl import Batch, Session
 from .gates import Coordinator
 
+#: Batches that are read ahead of the one that is written; so many more are held in memory.
+AHEAD = 2
+
 
 @dataclass
 class RunReport:
@@ -35,50 +42,84 @@ def run_session(
 ) -> RunReport:
     """Commit a session's batches in order; each is acknowledged only after its commit is durable in the ledger.
 
-    The session is closed in any case; if closing fails too, both errors are told.
+    While a batch is written and committed, the next AHEAD are read and checked already; nothing of them is written before
+    they are admitted, and what is wrong with one is told when its turn comes. The session is closed in any case; if closing
+    fails too, both errors are told.
     """
     gate = coordinator or Coordinator()
     report = RunReport()
     table = session.selection.table_id
     error: BaseException | None = None
-    try:
-        while batch_limit is None or report.batches < batch_limit:
-            reason = gate.try_admit(table)
-            if reason:
-                raise ContractError(reason)
-            batch = session.poll_batch()
-            if batch is None:
-                gate.release(table)
-                break
-            commit_batch(batch, table, sink, ledger, staging, destination, report, gate, actor, config, session.checkpoint)
-    except BaseException as e:
-        error = e
-        raise
-    finally:
+    reading: deque[Future] = deque()
+    begun = 0
+    with ThreadPoolExecutor(AHEAD) as beside:
         try:
-            session.close()
-        except Exception as closing:
-            if error is None:
-                raise
-            raise ContractError(f"{error}; closing failed too: {closing}") from error
+            while batch_limit is None or report.batches < batch_limit:
+                reason = gate.try_admit(table)
+                if reason:
+                    raise ContractError(reason)
+                while len(reading) <= AHEAD and (batch_limit is None or begun < batch_limit):
+                    batch = session.poll_batch()
+                    if batch is None:
+                        break
+                    reading.append(beside.submit(check_batch, batch))
+                    begun += 1
+                if not reading:
+                    gate.release(table)
+                    break
+                write_batch(reading.popleft().result(), table, sink, ledger, staging, destination, report, gate, actor, config, session.checkpoint)
+        except BaseException as e:
+            error = e
+            raise
+        finally:
+            for left in reading:
+                if not left.cancel() and left.exception() is None:
+                    left.result().held.unpersist()
+            try:
+                session.close()
+            except Exception as closing:
+                if error is None:
+                    raise
+                raise ContractError(f"{error}; closing failed too: {closing}") from error
     return report
 
 
+@dataclass(frozen=True)
+class Ready:
+    """A batch that was read and checked; ``held`` is kept in memory until it is written."""
+
+    label: str
+    held: DataFrame
+    normal: Normalized
+
+
+def check_batch(batch: Batch) -> Ready:
+    """A batch decoded once, checked and reduced."""
+    held = batch.rows.persist()
+    try:
+        keyed = batch.table_mode == "keyed_upsert" if batch.table_mode else None
+        return Ready(batch.label, held, normalize_batch(held, batch.checkpoint_end, batch.checkpoint_start, keyed))
+    except ContractError as broken:
+        held.unpersist()
+        raise ContractError(f"{batch.label}:{broken}") from broken
+
+
 def commit_batch(
     batch: Batch, table: str, sink: Sink, ledger: Ledger, staging: str, destination: str, report: RunReport, gate: Coordinator, actor: str = "millrace",
     config: WriterConfig = WriterConfig(), acknowledge=None,
 ) -> None:
     """Check, write and commit one admitted batch, and acknowledge it once its commit is durable; counts go to ``report``."""
-    rows = batch.rows.persist()  # decoded once for checks, statistics and files
+    write_batch(check_batch(batch), table, sink, ledger, staging, destination, report, gate, actor, config, acknowledge)
+
+
+def write_batch(
+    ready: Ready, table: str, sink: Sink, ledger: Ledger, staging: str, destination: str, report: RunReport, gate: Coordinator, actor: str = "millrace",
+    config: WriterConfig = WriterConfig(), acknowledge=None,
+) -> None:
     try:
-        keyed = batch.table_mode == "keyed_upsert" if batch.table_mode else None
-        try:
-            normal = normalize_batch(rows, batch.checkpoint_end, batch.checkpoint_start, keyed)
-        except ContractError as broken:
-            raise ContractError(f"{batch.label}:{broken}") from broken
-        manifest = materialize(normal, f"{table}.{batch.label}", staging, config)
+        manifest = materialize(ready.normal, f"{table}.{ready.label}", staging, config)
     finally:
-        rows.unpersist()
+        ready.held.unpersist()
     gate.record_materialized(table)
     ledger.register_batch(manifest)
     ledger.record_files(manifest.batch_id, manifest)
