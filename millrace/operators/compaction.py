@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
@@ -64,10 +65,19 @@ def current_files(spark: SparkSession, root: str) -> DataFrame:
     return active_files(events).orderBy("sequence", "phase", "place").select("file_uri")
 
 
+def in_arrival_order(spark: SparkSession, inputs: list[str]) -> DataFrame:
+    """The rows of files with their arrival order: _file, the file's place among ``inputs``, and _row, the place in the file."""
+    plain = lambda uri: re.sub(r"^([a-z0-9]+):/+", r"\1:/", uri)
+    places = spark.createDataFrame([(plain(u), i) for i, u in enumerate(inputs)], "_uri string, _file int")
+    uri = F.regexp_replace(F.col("_metadata.file_path"), r"^([a-z0-9]+):/+", "$1:/")
+    rows = spark.read.parquet(*inputs).select("*", uri.alias("_uri"), F.col("_metadata.row_index").alias("_row"))
+    return rows.join(F.broadcast(places), "_uri").drop("_uri")  # a row for each input file
+
+
 def compact(spark: SparkSession, root: str, table_mode: str, small_bytes: int, most_files: int, target_bytes: int, namespace: str | None = None) -> Report:
     """Rewrite the first ``most_files`` small active files by URI into files of about ``target_bytes``.
 
-    Fewer than two candidates change nothing. The record is the boundary; the files it removes stay on disk.
+    Rows keep their order of arrival: that of the files' URIs, then that within a file. Fewer than two candidates change nothing. The record is the boundary; the files it removes stay on disk.
     """
     if table_mode != "append_only":
         raise ContractError("compaction of keyed_upsert tables is not supported in this version")
@@ -82,15 +92,14 @@ def compact(spark: SparkSession, root: str, table_mode: str, small_bytes: int, m
     if len(chosen) < 2:
         return Report(0, 0, overflow + len(chosen), 0, None)
     inputs = [r["file_uri"] for r in chosen]
-    rows = spark.read.parquet(*inputs)
+    rows = in_arrival_order(spark, inputs)
     n, size = rows.count(), sum(r["file_size_bytes"] for r in chosen)
     snapshot = "compaction-" + stable_hash_text(*inputs)
     out = f"{root}/data/{sanitize_output_component(snapshot)}"
     per_file = rows_for_target(target_bytes, max(1, size // max(1, n)))
-    order = ["ordering_value"] if "ordering_value" in rows.columns else rows.columns[:1]
     pieces = max(1, -(-n // per_file))
-    ranged = rows.repartitionByRange(pieces, *order) if pieces > 1 else rows.coalesce(1)
-    ranged.sortWithinPartitions(*order).write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(out)
+    ranged = rows.repartitionByRange(pieces, "_file", "_row") if pieces > 1 else rows.coalesce(1)
+    ranged.sortWithinPartitions("_file", "_row").drop("_file", "_row").write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(out)
     added = files.glob(f"{out}/*.parquet")
     names = [(p.rsplit("/", 1)[-1],) for p in files.glob(f"{root}/_compactions/*.json")]
     sequence = next_sequence(spark.createDataFrame(names, "name string")).first()["next_sequence"]

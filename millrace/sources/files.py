@@ -63,5 +63,11 @@ class Files:
             raise OSError(f"could not copy {source}")
         self.move(target + ".tmp", target)
 
+    def passing(self, path: str) -> None:
+        """Make a folder that goes when the application ends."""
+        fs, where = self._fs(path), self._path(path)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+
     def delete(self, path: str) -> None:
         self._fs(path).delete(self._path(path), True)
