@@ -32,7 +32,7 @@ from .common import durable, only, table
 DEPTH = 5
 LEAST = 16
 HEAD = 2
-KEPT = 1 << 22
+KEPT = 1 << 23
 PART = 20_000  # cells that are weighted together
 CONTEXTS = 1 << 16  # of Trees, the local form
 END = 255  # never a byte of UTF-8
@@ -366,9 +366,11 @@ def occurring(docs: DataFrame) -> DataFrame:
     return found.select(F.lit(CONTEXT).alias("kind"), "key", F.lit(0).cast("long").alias("n"))
 
 
-def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, training: DataFrame, unseen: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): one row per row of ``docs``.
 
+    ``unseen`` are the rows of ``docs`` whose texts may not be among those of ``training``, by default all: only these are
+    searched for cells that the training texts don't have.
     A null text counts as empty: one token, its end. Without training rows no token is known, the base score takes
     N = V = 0, and the model gives each bit one half. Rows alike in doc_id and text are scored alike, each of them
     returned; null ids are allowed; other columns are ignored; an empty ``docs`` gives no rows.
@@ -376,7 +378,8 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     trained = count(only(training, "text").select(F.col("text").cast("string").alias("text")))
-    counts = durable(trained.unionByName(occurring(texts)).groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    more = texts if unseen is None else only(unseen, "text").select(F.col("text").cast("string").alias("text"))
+    counts = durable(trained.unionByName(occurring(more)).groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     ends = total[LAST]["n"] if LAST in total else 0
     tokens = ends + (total[WORD]["n"] if WORD in total else 0)
@@ -518,5 +521,5 @@ def held_out():
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and base scores of all documents, learned from those that aren't held out. Edge cases as in ``scores``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scores(docs, docs.filter(~held_out()))
+    found = scores(docs, docs.filter(~held_out()), docs.filter(held_out()))
     return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

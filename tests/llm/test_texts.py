@@ -535,7 +535,7 @@ def test_every_context_of_sixteen_bytes_is_scored(docs, edges, kept, monkeypatch
         monkeypatch.setattr(lm, "CONTEXTS", total / 16 + 1e-6)
         trees = lm.Trees(lm.tree_counts(counts, total))
         want = sorted((str(r["doc_id"]), trees.score(lm._lowered(r["text"]))) for r in df.collect())
-        got = sorted((str(r["doc_id"]), r["score"]) for r in lm.scores(df, training).collect())
+        got = sorted((str(r["doc_id"]), r["score"]) for r in lm.scores(df, training, df.filter(lm.held_out())).collect())
         assert [d for d, _ in got] == [d for d, _ in want]
         assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-5, atol=1e-3)
 
