@@ -391,14 +391,14 @@ def scores(docs: DataFrame, training: DataFrame, unseen: DataFrame | None = None
     kept = logs.filter(is_kept).select("key", "log").orderBy("key").toArrow()
     kept = kept["key"].to_numpy().astype(np.uint64), kept["log"].to_numpy().astype(np.float32)
     frequent = counts.filter((F.col("kind") == WORD) & (F.col("n") * FREQUENT >= tokens)).select("key", "n").toArrow()
-    known = dict(zip(frequent.column("key").to_pylist(), frequent.column("n").to_pylist()))
+    order = np.argsort(frequent["key"].to_numpy())
+    known = frequent["key"].to_numpy()[order], np.log10(frequent["n"].to_numpy()[order] + 0.5)
     shared = spark.sparkContext.broadcast((kept, known))
     last = float(np.log10(ends + 0.5))
 
     def run(batches):
-        (kept, kept_logs), known = shared.value
-        value = {k: float(np.log10(n + 0.5)) for k, n in known.items()}
-        names: dict[bytes, int] = {}
+        (kept, kept_logs), (word_keys, word_logs) = shared.value
+        names = Names()
 
         def look_up(waiting, owners, score):
             """Adds the kept cells to ``score`` and returns cell, owner and number of the others."""
@@ -408,42 +408,22 @@ def scores(docs: DataFrame, training: DataFrame, unseen: DataFrame | None = None
             score += np.bincount(owner, np.where(hit, kept_logs[i], 0.0)[place] if len(kept) else None, len(score)) * bool(len(kept))
             other = ~hit[place]
             pair, times = np.unique(place[other] * len(score) + owner[other], return_counts=True)
-            return cell[pair // len(score)], pair % len(score), times
+            return pair % len(score), cell[pair // len(score)].astype(np.int64), times
 
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids, marks, kinds, keys, numbers, stats, firsts = [], [], [], [], [], [], []
-                score, waiting, owners, held, others = np.zeros(part.num_rows), [], [], 0, []
-                for place, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
+                size = part.num_rows
+                ids, marks, sizes = part.column("doc_id"), np.zeros(size, np.int64), np.zeros(size)
+                keys, times, score, waiting, owners, held, others = [], [], np.zeros(size), [], [], 0, []
+                for place, text in enumerate(part.column("text").to_pylist()):
                     lowered = _lowered(text)
-                    mark = xxhash.xxh64_intdigest(b"-" if text is None else b"+" + text.encode("utf-8", "replace")) - (1 << 63)
+                    marks[place] = xxhash.xxh64_intdigest(b"-" if text is None else b"+" + text.encode("utf-8", "replace")) - (1 << 63)
+                    sizes[place] = len(lowered)
                     words = Counter(lowered.split())
-                    base, seen, n, before = last, int(ends > 0), 1, len(keys)
-                    keys.append(mark)
-                    numbers.append(0)
-                    for word, times in words.items():
-                        key = names.get(word)
-                        if key is None:
-                            key = word_hash(word)
-                            if len(word) < 32:
-                                if len(names) > 300_000:
-                                    names.clear()
-                                names[word] = key
-                        n += times
-                        if key in value:
-                            base += times * value[key]
-                            seen += times
-                        else:
-                            keys.append(key)
-                            numbers.append(times)
-                    more = len(keys) - before
-                    ids += [doc] * more
-                    marks += [mark] * more
-                    kinds += [LAST] + [WORD] * (more - 1)
-                    firsts.append(before)
-                    stats.append({"n": n, "known": seen, "base": base, "bytes": len(lowered)})
-                    stats += [None] * (more - 1)
+                    keys.append(np.fromiter(map(names.__getitem__, words), np.int64, len(words)))
+                    times.append(np.fromiter(words.values(), np.int64, len(words)))
+                    names.forget()
                     for piece in pieces(lowered):
                         waiting.append(cells(piece))
                         owners.append((place, len(waiting[-1])))
@@ -453,26 +433,20 @@ def scores(docs: DataFrame, training: DataFrame, unseen: DataFrame | None = None
                             waiting, owners, held = [], [], 0
                 if waiting:
                     others.append(look_up(waiting, owners, score))
-                for place, first in enumerate(firsts):
-                    stats[first]["score"] = float(score[place])
-                ids, marks = pa.array(ids, pa.int64()), pa.array(marks, pa.int64())
-                yield _rows(ids, marks, pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(stats, _STATS))
-                for cell, owner, times in others:
-                    at = np.array(firsts)[owner]
+                owner, key, number = np.repeat(np.arange(size), [len(x) for x in keys]), np.concatenate(keys), np.concatenate(times)
+                i, hit = _find(word_keys, key)
+                found = np.where(hit, word_logs[i], 0.0) if len(word_keys) else np.zeros(len(key))
+                stats = [
+                    1 + np.bincount(owner, number, size), int(ends > 0) + np.bincount(owner, np.where(hit, number, 0), size),
+                    last + np.bincount(owner, number * found, size), score, sizes,
+                ]
+                stats = pa.ListArray.from_arrays(pa.array(np.arange(0, 5 * size + 1, 5, dtype=np.int32)), pa.array(np.stack(stats, axis=1).ravel()))
+                yield _rows(ids, marks, LAST, np.arange(size), marks, np.zeros(size), stats)
+                for kind, (at, key, number) in [(WORD, (owner[~hit], key[~hit], number[~hit])), *((CONTEXT, x) for x in others)]:
                     for j in range(0, len(at), 50_000):
-                        some = pa.array(at[j : j + 50_000])
-                        yield _rows(
-                            ids.take(some),
-                            marks.take(some),
-                            pa.array(np.full(len(some), CONTEXT, np.int32)),
-                            pa.array(cell[j : j + 50_000].astype(np.int64)),
-                            pa.array(times[j : j + 50_000].astype(np.int32)),
-                            pa.nulls(len(some), _STATS),
-                        )
-
-    rows = texts.mapInArrow(
-        run, "doc_id long, mark long, kind int, key long, times int, stats struct<n:long,known:long,base:double,score:double,bytes:long>"
-    )
+                        yield _rows(ids, marks, kind, at[j : j + 50_000], key[j : j + 50_000], number[j : j + 50_000])
+
+    rows = texts.mapInArrow(run, "doc_id long, mark long, kind int, key long, times int, stats array<double>")
     rare_words = counts.filter((F.col("kind") == WORD) & (F.col("n") * FREQUENT < tokens)).select("kind", "key", F.col("n").alias("c"), F.log10(F.col("n") + 0.5).alias("log"))
     rare_cells = logs.filter(~is_kept).select(F.lit(CONTEXT).alias("kind"), "key", F.lit(0).cast("long").alias("c"), "log")
     rare = rare_words.unionByName(rare_cells).hint("shuffle_hash")
@@ -482,11 +456,11 @@ def scores(docs: DataFrame, training: DataFrame, unseen: DataFrame | None = None
         .groupBy("doc_id", "mark")
         .agg(
             F.count("stats").alias("rows"),
-            F.max("stats.n").alias("n"),
-            F.max("stats.known").alias("known"),
-            F.max("stats.base").alias("base"),
-            F.max("stats.score").alias("score"),
-            F.max("stats.bytes").alias("bytes"),
+            F.max(F.get("stats", F.lit(0))).cast("long").alias("n"),
+            F.max(F.get("stats", F.lit(1))).cast("long").alias("known"),
+            F.max(F.get("stats", F.lit(2))).alias("base"),
+            F.max(F.get("stats", F.lit(3))).alias("score"),
+            F.max(F.get("stats", F.lit(4))).alias("bytes"),
             F.sum(F.when(~is_cell, times * F.coalesce("log", F.lit(float(np.log10(0.5)))))).alias("rare"),
             F.sum(F.when(is_cell, times * F.col("log")).otherwise(0.0)).alias("rare_cells"),
             F.sum(F.when(F.col("c") > 0, times).otherwise(0)).alias("rare_known"),
@@ -506,11 +480,25 @@ def scores(docs: DataFrame, training: DataFrame, unseen: DataFrame | None = None
     ).drop("_copy")
 
 
-_STATS = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64())])
+class Names(dict):
+    """The hashes of words, remembered for short ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        key = word_hash(word)
+        if len(word) < 32:
+            self[word] = key
+        return key
+
+    def forget(self, most: int = 200_000) -> None:
+        if len(self) > most:
+            self.clear()
 
 
-def _rows(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns), ["doc_id", "mark", "kind", "key", "times", "stats"])
+def _rows(ids, marks: np.ndarray, kind: int, at: np.ndarray, key: np.ndarray, times: np.ndarray, stats=None) -> pa.RecordBatch:
+    """Rows of the documents ``at`` these places of a part."""
+    columns = [ids.take(pa.array(at)), pa.array(marks[at]), pa.array(np.full(len(at), kind, np.int32)), pa.array(key), pa.array(times.astype(np.int32))]
+    columns.append(pa.nulls(len(at), pa.list_(pa.float64())) if stats is None else stats)
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "kind", "key", "times", "stats"])
 
 
 def held_out():
