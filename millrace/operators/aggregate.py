@@ -46,17 +46,17 @@ def key_census(rows: DataFrame, json: str) -> DataFrame:
 def fingerprint_parts(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, parts): distinct sorted ``kind:name:type`` of keys and payloads; a payload that is no object is a scalar.
 
-    One pass: each text is parsed once and folded by its schema before anything is shuffled, with one text for each schema;
-    the fields are taken from those.
+    One pass: each text is parsed once, and its parts are made distinct before and after the shuffle.
     """
     texts = F.array(*(F.struct(F.lit(word).alias("word"), F.col(column).alias("text")) for column, word in (("key_json", "key"), ("after_json", "after"), ("before_json", "before"))))
-    each = rows.select(*by, F.inline(F.filter(texts, lambda t: t["text"].isNotNull())))
-    shapes = each.withColumn("shape", F.schema_of_variant(F.try_parse_json("text"))).filter("shape is not null").groupBy(*by, "word", "shape").agg(F.min("text").alias("text"))
-    named = F.col("shape").startswith("OBJECT")
-    objects = shapes.filter(named).lateralJoin(rows.sparkSession.tvf.variant_explode(F.try_parse_json(F.col("text")).outer()))
-    parts = objects.select(*by, F.concat_ws(":", "word", "key", kind_of(F.schema_of_variant("value"))).alias("part"))
-    scalars = shapes.filter(~named & (F.col("word") != "key")).select(*by, F.concat("word", F.lit(":scalar:"), kind_of(F.col("shape"))).alias("part"))
-    return parts.unionByName(scalars).groupBy(*by).agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    each = rows.select(*by, F.inline(F.filter(texts, lambda t: t["text"].isNotNull()))).withColumn("_v", F.try_parse_json("text"))
+    each = each.withColumn("_shape", F.schema_of_variant("_v")).filter("_shape is not null")
+    named = F.col("_shape").startswith("OBJECT")
+    exploded = each.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()))
+    field = F.when(F.col("key").isNotNull(), F.concat_ws(":", "word", "key", kind_of(F.schema_of_variant("value"))))
+    scalar = F.when(F.col("word") != "key", F.concat("word", F.lit(":scalar:"), kind_of(F.col("_shape"))))
+    parts = exploded.select(*by, F.when(named, field).otherwise(scalar).alias("part")).filter("part is not null").distinct()
+    return parts.groupBy(*by).agg(F.array_sort(F.collect_list("part")).alias("parts"))
 
 
 def schema_fingerprints(rows: DataFrame, by: list[str]) -> DataFrame:

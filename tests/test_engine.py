@@ -180,6 +180,16 @@ def test_replay_identity_ignores_time_and_order():
     assert a.checksum() != b.checksum()
 
 
+def test_schema_parts_of_every_kind_of_payload(spark):
+    from millrace.operators.aggregate import fingerprint_parts
+
+    rows = [('{"id":1}', '{"a":1,"b":{"c":2}}', None), ('{"id":"x"}', "5", "[1,2]"), ('{"id":1}', "{}", "null"), ("{}", '{"a":null,"b":true}', "not json"), ("7", '"s"', "[]")]
+    df = spark.createDataFrame(rows, "key_json string, after_json string, before_json string").withColumn("t", F.lit(1))
+    (row,) = fingerprint_parts(df, ["t"]).collect()
+    want = {"key:id:number", "key:id:string", "after:a:number", "after:b:object", "after:scalar:number", "before:scalar:array", "before:scalar:null", "after:a:null", "after:b:bool", "after:scalar:string"}
+    assert row["parts"] == sorted(want)
+
+
 # ---- ledger
 
 
