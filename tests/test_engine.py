@@ -396,6 +396,33 @@ def test_env_and_versions(tmp_path):
         C.config_root(tmp_path / "x.toml")
 
 
+def test_rest_catalogue_requests():
+    from millrace.sources.rest import RestCatalog
+
+    asked = []
+
+    def answers(config):
+        def send(method, url, headers, form):
+            asked.append((method, url, headers.get("Authorization"), form))
+            return {"access_token": "granted", "expires_in": 3600} if method == "POST" else config if "/config" in url else {"properties": {"a": "1"}}
+
+        return send
+
+    plain = RestCatalog("http://c/", "ware house", {}, answers({}))
+    assert plain.prefix() == "ware house" and plain.headers() == {"Accept": "application/json"}
+    assert asked == [("GET", "http://c/v1/config?warehouse=ware+house", None, None)]
+    assert RestCatalog("http://c", "w", {}, answers({"defaults": {"prefix": "d"}, "overrides": {"prefix": "o"}})).prefix() == "d"
+    assert RestCatalog("http://c", "w", {}, answers({"overrides": {"prefix": "o"}})).prefix() == "o"
+    assert RestCatalog("http://c", "w", {"bearer_token": "t", "client_id": "x"}, answers({})).headers()["Authorization"] == "Bearer t"
+    asked.clear()
+    client = RestCatalog("http://c", "w", {"client_id": "i", "client_secret": "s"}, answers({"defaults": {"prefix": "p/q"}}))
+    assert client.namespace_properties("n.m") == {"a": "1"}
+    assert asked[0] == ("POST", "http://c/v1/oauth/tokens", None, {"grant_type": "client_credentials", "client_id": "i", "client_secret": "s", "scope": "PRINCIPAL_ROLE:ALL"})
+    assert [a[:3] for a in asked[1:]] == [("GET", "http://c/v1/config?warehouse=w", "Bearer granted"), ("GET", "http://c/v1/p%2Fq/namespaces/n%1Fm", "Bearer granted")]
+    with pytest.raises(ContractError, match="client_secret"):
+        RestCatalog("http://c", "w", {"client_id": "i"}, answers({})).token()
+
+
 # ---- streams
 
 
