@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Aside, hash_bound, only, table, without
 
@@ -226,16 +227,21 @@ def _identified(docs: DataFrame) -> tuple[Aside, DataFrame]:
     known = fit(own.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held_out(F.col("doc_id")).alias("held_out")))
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
+    # a text that isn't a string is sent beside its cast; a string is sent once
+    frame, seen = whole.frame, "text"
+    if frame.schema["text"].dataType.simpleString() != "string":
+        frame, seen = frame.withColumn("_text", F.col("text").cast("string")), "_text"
+
     def run(batches):
         for batch in batches:
-            found = [predict(x, shared.value) for x in batch.column("_text").to_pylist()]
+            found = [predict(x, shared.value) for x in batch.column(seen).to_pylist()]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             rest = batch.select(names)
             yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*names, "_pred", "_score", "_rejected"])
 
     names = whole.frame.columns
-    schema = whole.frame.schema.add("_pred", "string").add("_score", "double").add("_rejected", "boolean")
-    return whole, whole.frame.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = StructType([*whole.frame.schema.fields]).add("_pred", "string").add("_score", "double").add("_rejected", "boolean")
+    return whole, frame.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
