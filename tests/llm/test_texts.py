@@ -222,6 +222,20 @@ def test_anchor_links_lose_none(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("operator", [simhash.near_duplicates])
+def test_visits_never_pass_through_the_driver(docs, operator, monkeypatch):
+    plans, found = [], simhash.links
+
+    def links(*given):
+        out = found(*given)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(simhash, "links", links)
+    assert operator(docs).count()
+    assert len(plans) == 1 and "Join" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_components_of_a_long_chain(spark):
     from millrace.llm.components import components
 
