@@ -222,7 +222,7 @@ def test_anchor_links_lose_none(spark):
     assert got == want and want
 
 
-@pytest.mark.parametrize("operator", [simhash.near_duplicates])
+@pytest.mark.parametrize("operator", [simhash.near_duplicates, simhash.deduplicate])
 def test_visits_never_pass_through_the_driver(docs, operator, monkeypatch):
     plans, found = [], simhash.links
 
