@@ -21,7 +21,9 @@ import re
 import sys
 from collections import defaultdict
 from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +81,7 @@ COMMON_SHARE = 0.9
 LEAST_PAGES = 3
 MOST = 0.6  # share of the varying text that draws the search for the article's place further down
 RARE = 256  # a node on less than this share of a template's pages is not template
-LARGE = 10_000  # pairs of siblings from which on alignment is greedy
+SIZES_KEPT = 1 << 19  # sizes of mappings that a matching remembers
 FAN_IN = 64
 
 
@@ -293,56 +295,124 @@ def preorder(root: Node) -> list[Node]:
     return out
 
 
+class Matching:
+    """Largest mappings between the subtrees of two trees, of any size; subtrees of one structure are compared once."""
+
+    def __init__(self):
+        self.kinds: dict[int, int] = {}  # number of the structure of each node, by identity
+        self.numbers: dict[tuple, int] = {}
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def kind(self, node: Node) -> int:
+        if id(node) not in self.kinds:
+            for n in reversed(preorder(node)):
+                self.kinds[id(n)] = self.numbers.setdefault((n.name, *[self.kinds[id(k)] for k in n.kids]), len(self.numbers))
+        return self.kinds[id(node)]
+
+    def size(self, a: Node, b: Node) -> int:
+        """Matched pairs of nodes in the largest mapping of two trees of one name."""
+        x, y = a.kids, b.kids
+        if not x or not y:
+            return 1
+        key = self.kind(a), self.kind(b)
+        found = self.sizes.get(key)
+        if found is None:
+            if _same_names(x, y):
+                found = 1 + sum([self.size(p, q) for p, q in zip(x, y)])
+            else:
+                weights, place = self.weights(x, y)
+                row = np.zeros(len(y) + 1, dtype=np.int32)
+                for w in weights:
+                    row = _next_row(row, w, place)
+                found = 1 + int(row[-1])
+            if len(self.sizes) >= SIZES_KEPT:
+                self.sizes.clear()  # they are found again when needed
+            self.sizes[key] = found
+        return found
+
+    def weights(self, x: list[Node], y: list[Node]) -> tuple[list, np.ndarray]:
+        """For each of x its sizes with the structures in y, None if no name is the same; and the structure of each of y."""
+        first: dict[int, int] = {}
+        named: dict[str, list[tuple[int, Node]]] = {}
+        place = np.empty(len(y), dtype=np.intp)
+        for j, q in enumerate(y):
+            kind = self.kind(q)
+            if kind not in first:
+                first[kind] = len(first)
+                named.setdefault(q.name, []).append((first[kind], q))
+            place[j] = first[kind]
+        found: dict[int, np.ndarray | None] = {}
+        for p in x:
+            kind = self.kind(p)
+            if kind not in found:
+                found[kind] = None
+                if p.name in named:
+                    sizes = np.zeros(len(first), dtype=np.int32)
+                    for n, q in named[p.name]:
+                        sizes[n] = self.size(p, q)
+                    found[kind] = sizes
+        return [found[self.kind(p)] for p in x], place
+
+    def pairs(self, a: Node, b: Node) -> list:
+        """Matched pairs of kids, each with those below; rows between every step-th are computed again on the way back."""
+        x, y = a.kids, b.kids
+        if not x or not y:
+            return []
+        if _same_names(x, y):
+            return [(i, i, self.pairs(p, q)) for i, (p, q) in enumerate(zip(x, y))]
+        weights, place = self.weights(x, y)
+        step, starts, row = isqrt(len(x)) + 1, [], np.zeros(len(y) + 1, dtype=np.int32)
+        for i, w in enumerate(weights):
+            if i % step == 0:
+                starts.append(row)
+            row = _next_row(row, w, place)
+        found, rows, low, i, j = [], [], len(x), len(x), len(y)
+        while i and j:
+            if i <= low:
+                low = (i - 1) // step * step
+                rows = [starts[low // step]]
+                for w in weights[low:i]:
+                    rows.append(_next_row(rows[-1], w, place))
+            above, here, w = rows[i - 1 - low], rows[i - low], weights[i - 1]
+            w = 0 if w is None else w[place[j - 1]]
+            if w and here[j] == above[j - 1] + w:
+                i, j = i - 1, j - 1
+                found.append((i, j))
+            elif here[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+        return [(m, n, self.pairs(x[m], y[n])) for m, n in found[::-1]]
+
+
+def _same_names(x: list[Node], y: list[Node]) -> bool:
+    """Whether siblings differ in name and are those of the other tree, so that each can only match its like."""
+    names = [k.name for k in x]
+    return len(x) == len(y) and len(set(names)) == len(names) and names == [k.name for k in y]
+
+
+def _next_row(row: np.ndarray, weights: np.ndarray | None, place: np.ndarray) -> np.ndarray:
+    """Sizes of the largest mappings of one more sibling and those before it with each beginning of the others."""
+    if weights is None:
+        return row
+    out = row.copy()
+    np.maximum(row[1:], row[:-1] + weights[place], out=out[1:])
+    return np.maximum.accumulate(out)
+
+
 def match(a: Node, b: Node) -> tuple[int, list]:
     """Simple tree matching: the size of the largest order-keeping mapping of two trees, and the matched pairs of kids.
 
-    Siblings that differ in name are aligned without search; of very many siblings each takes the next of its name.
+    Siblings that differ in name are aligned without search. Of mappings of one size the one that matches latest is taken.
     """
     if a.name != b.name:
         return 0, []
-    x, y = a.kids, b.kids
-    if not x or not y:
-        return 1, []
-    names = [k.name for k in x]
-    if len(set(names)) == len(names) and names == [k.name for k in y]:
-        pairs = [(i, i, *match(p, q)) for i, (p, q) in enumerate(zip(x, y))]
-        return 1 + sum([size for *_, size, _ in pairs]), [(i, j, inner) for i, j, _, inner in pairs]
-    if len(x) * len(y) > LARGE:
-        return _greedy(x, y)
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    each = {}
-    for i, p in enumerate(x, 1):
-        for j, q in enumerate(y, 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1])
-            if p.name == q.name:
-                each[i, j] = size, _ = match(p, q)
-                best[i][j] = max(best[i][j], best[i - 1][j - 1] + size)
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        if (i, j) in each and best[i][j] == best[i - 1][j - 1] + each[i, j][0]:
-            pairs.append((i - 1, j - 1, each[i, j][1]))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[-1][-1] + 1, pairs[::-1]
-
-
-def _greedy(x: list[Node], y: list[Node]) -> tuple[int, list]:
-    places: dict[str, list[int]] = {}
-    for j in range(len(y) - 1, -1, -1):
-        places.setdefault(y[j].name, []).append(j)
-    size, pairs, after = 1, [], -1
-    for i, p in enumerate(x):
-        left = places.get(p.name)
-        while left and left[-1] <= after:
-            left.pop()
-        if left and left[-1] - after <= 1 + len(y) // 8:  # a far one would skip too many
-            after = left.pop()
-            n, inner = match(p, y[after])
-            size += n
-            pairs.append((i, after, inner))
+    pairs = Matching().pairs(a, b)
+    size, todo = 1, [pairs]
+    while todo:
+        of = todo.pop()
+        size += len(of)
+        todo += [inner for *_, inner in of]
     return size, pairs
 
 

@@ -358,6 +358,35 @@ def test_simple_tree_matching_is_the_largest_mapping():
         assert html.match(a, b)[0] == brute(a, b)
 
 
+def test_many_siblings_are_matched_like_few():
+    rng = random.Random(8)
+
+    def full(a, b):
+        if a.name != b.name:
+            return 0, []
+        x, y = a.kids, b.kids
+        each = {(i, j): full(p, q) for i, p in enumerate(x, 1) for j, q in enumerate(y, 1) if p.name == q.name}
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + each.get((i, j), (0,))[0])
+        pairs, i, j = [], len(x), len(y)
+        while i and j:
+            if (i, j) in each and best[i][j] == best[i - 1][j - 1] + each[i, j][0]:
+                i, j = i - 1, j - 1
+                pairs.append((i, j, each[i + 1, j + 1][1]))
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return 1 + best[-1][-1], pairs[::-1]
+
+    for n, m in ((3, 4), (9, 30), (99, 101), (130, 120), (40, 300)):
+        a, b = html.Node("", "a", False), html.Node("", "a", False)
+        a.kids, b.kids = [tree_of(rng, 2) for _ in range(n)], [tree_of(rng, 2) for _ in range(m)]
+        assert html.match(a, b) == full(a, b)
+
+
 def test_packed_templates_come_back():
     tree, _ = html.parse(page("<h1>T</h1><p>a<p>b<ul><li>c</ul>"))
     assert html.packed(html.unpacked(html.packed(tree))) == html.packed(tree)
