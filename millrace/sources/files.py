@@ -26,6 +26,10 @@ class Files:
         found = self._fs(pattern).globStatus(self._path(pattern))
         return sorted(s.getPath().toString() for s in found) if found else []
 
+    def name(self, path: str) -> str:
+        """A file's name as Spark's ``_metadata.file_name`` has it, with escapes."""
+        return self._path(path).toUri().getRawPath().rsplit("/", 1)[-1]
+
     def size(self, path: str) -> int:
         return self._fs(path).getFileStatus(self._path(path)).getLen()
 

@@ -175,17 +175,18 @@ def decoded(lines: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, block, pos, decoded columns, error) of every line that isn't blank, a file in as many tasks as it has splits.
+    """(file, name, block, pos, decoded columns, error) of every line that isn't blank, a file in as many tasks as it has splits.
 
-    The order of a file's lines is that of (block, pos). Of a file read alone pos has that order too, and is the line's
-    number from one in its first split.
+    The order of a file's lines is that of (block, pos), and that of pos alone: a task has no more lines than a split has
+    bytes. Of a file read alone pos is the line's number from one in its first split.
     """
     ship(spark)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
     lines = spark.read.option("lineSep", "\n").text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"), F.btrim("value", F.lit(" \t\r")).alias("line")
-    )
-    return decoded(lines.filter("line <> ''").select("file", "block", (F.col("block") + F.col("place")).alias("pos"), "line"))
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"),
+        F.btrim("value", F.lit(" \t\r")).alias("line"),
+    )
+    return decoded(lines.filter("line <> ''").select("file", "name", "block", (F.col("block") + F.col("place")).alias("pos"), "line"))
 
 
 @dataclass(frozen=True)
@@ -208,6 +209,15 @@ class Batch:
     table_mode: str | None = None
 
 
+@dataclass(frozen=True)
+class Group:
+    """Batches that one scan reads: landed columns, pos, key_names and ``batch``, a batch's place among ``bounds``."""
+
+    rows: DataFrame
+    bounds: list[dict]
+    table_mode: str | None = None
+
+
 class FileSource:
     """A folder of batch files as a source; the folder's name gives table, class and mode unless they are given."""
 
@@ -244,7 +254,7 @@ class FileSource:
                 raise ContractError(f"{file}:{first['pos']}: {first['error']}")
         empty = {"checkpoint_start": "", "checkpoint_end": "", "records": 0}
         by_name = {k.rsplit("/", 1)[-1]: v for k, v in rows.items()}
-        return [known.get(p) or by_name.get(p.rsplit("/", 1)[-1], empty) | {"file": p} for p in paths]
+        return [known.get(p) or by_name.get(self.files.name(p), empty) | {"file": p} for p in paths]
 
     def check(self) -> dict:
         bounds = self.boundaries()
@@ -272,8 +282,12 @@ class FileSource:
         return Session(self, replace(selection), bounds, cursor)
 
 
+def label_of(bound: dict) -> str:
+    return bound["file"].rsplit("/", 1)[-1]
+
+
 class Session:
-    """Polls whole files as batches, in order; acknowledgements may not go back."""
+    """Polls whole files as batches, one by one or in groups, in order; acknowledgements may not go back."""
 
     def __init__(self, source: FileSource, selection: Selection, bounds: list[dict], cursor: int):
         self.source, self.selection, self.bounds, self.cursor = source, selection, bounds, cursor
@@ -284,10 +298,33 @@ class Session:
         """The next batch, or None when there is none left."""
         if self.cursor >= len(self.bounds):
             return None
-        bound = self.bounds[self.cursor]
         self.cursor += 1
+        return self.batch_of(self.bounds[self.cursor - 1])
+
+    def batch_of(self, bound: dict) -> Batch:
+        """One of ``bounds`` as a batch."""
+        rows = self._landed(scan(self.source.spark, [bound["file"]]))
+        return Batch(rows, label_of(bound), bound["checkpoint_start"], bound["checkpoint_end"], self.source.table_mode)
+
+    def poll_group(self, most_bytes: int | None = None, most: int | None = None) -> Group | None:
+        """The next batches by one scan, or None when there is none left: all of them, or those whose files have up to
+        ``most_bytes`` together, the first in any case, and up to ``most``."""
+        begun, files, held = self.cursor, self.source.files, 0
+        while self.cursor < len(self.bounds) and (most is None or self.cursor - begun < most):
+            held += files.size(self.bounds[self.cursor]["file"]) if most_bytes is not None else 0
+            if self.cursor > begun and most_bytes is not None and held > most_bytes:
+                break
+            self.cursor += 1
+        bounds, spark = self.bounds[begun : self.cursor], self.source.spark
+        if not bounds:
+            return None
+        places = spark.createDataFrame([(files.name(b["file"]), i) for i, b in enumerate(bounds)], "name string, batch int")
+        rows = scan(spark, [b["file"] for b in bounds]).join(F.broadcast(places), "name", "left")  # a row for each file
+        return Group(self._landed(rows, "batch"), bounds, self.source.table_mode)
+
+    def _landed(self, scanned: DataFrame, *more: str) -> DataFrame:
         s = self.source
-        rows = scan(s.spark, [bound["file"]]).select(
+        rows = scanned.select(
             F.lit(self.selection.table_id).alias("table_id"),
             F.lit(s.source_id).alias("source_id"),
             F.lit(s.source_class).alias("source_class"),
@@ -296,8 +333,9 @@ class Session:
             *[c for c in COLUMNS if c in DECODED],
             "pos",
             "key_names",
+            *more,
         )
-        return Batch(rows.select(*COLUMNS, "pos", "key_names"), bound["file"].rsplit("/", 1)[-1], bound["checkpoint_start"], bound["checkpoint_end"], s.table_mode)
+        return rows.select(*COLUMNS, "pos", "key_names", *more)
 
     def checkpoint(self, source_id: str, checkpoint: str) -> None:
         if not source_id.strip() or not checkpoint.strip():

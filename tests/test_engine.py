@@ -117,6 +117,27 @@ def test_source_resume_and_acknowledgement(spark, workload):
     assert jsonl.FileSource(spark, f"file://{workload}/missing").discover() == []
 
 
+def test_a_group_of_batches_is_one_scan(spark, tmp_path):
+    folder = tmp_path / "customer_state"
+    folder.mkdir()
+    for i in range(6):
+        rows = [record(10 * i + k, "upsert", {"id": k}, {"v": i}) for k in range(3)]
+        (folder / f"batch-{i} é+%.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    source, choice = jsonl.FileSource(spark, f"file://{folder}"), jsonl.Selection("customer_state", "customer_state", "keyed_upsert")
+    group = source.open_capture(choice).poll_group()
+    assert group.rows._jdf.queryExecution().analyzed().toString().count("Relation [value") == 1
+    got = sorted((r["batch"], r["pos"], r["ordering_value"]) for r in group.rows.collect())
+    assert [(b, o) for b, _, o in got] == [(i, 10 * i + k) for i in range(6) for k in range(3)]
+    session, groups = source.open_capture(choice), []
+    one = (folder / "batch-0 é+%.jsonl").stat().st_size
+    while (group := session.poll_group(2 * one + 20, 3)) is not None:
+        groups.append(len(group.bounds))
+    assert groups == [2, 2, 2] and [b["records"] for b in session.bounds] == [3] * 6
+    assert len(source.open_capture(choice).poll_group(1).bounds) == 1
+    assert len(source.open_capture(choice, "cp-0042").poll_group().bounds) == 1
+
+
+
 # ---- normalisation and upserts
 
 
