@@ -62,20 +62,20 @@ class Normalized:
     stats: tuple | None = None  # counts, bytes and digests by operation, where the rows are those that were profiled
 
 
-def statistics(rows: DataFrame, *more) -> list:
-    """Count, bytes and content digest of each operation, and further aggregates: one grouped pass, three rows at most."""
+def statistics(rows: DataFrame, *more, by: tuple = ()) -> list:
+    """Count, bytes and content digest of each operation, and further aggregates: one grouped pass, three rows at most (of each batch)."""
     signature = mutation_signature()
-    return rows.groupBy("op").agg(F.sum(F.octet_length(signature).cast("long")).alias("bytes"), *content_digest(signature), *more).collect()
+    return rows.groupBy(*by, "op").agg(F.sum(F.octet_length(signature).cast("long")).alias("bytes"), *content_digest(signature), *more).collect()
 
 
-def profile(rows: DataFrame, keyed: bool) -> list:
+def profile(rows: DataFrame, keyed: bool, by: tuple = ()) -> list:
     """Everything that is asked of a batch's rows before they are written, by operation, in one pass.
 
     Besides ``statistics``: the first row that breaks a rule of its own (if there is a column key_names), minima and maxima
     of the columns that must agree and of the ordering, and for keyed batches whether a key's ordering ever falls.
     """
     if keyed:
-        before = F.lag("ordering_value").over(Window.partitionBy("key_json").orderBy("pos"))
+        before = F.lag("ordering_value").over(Window.partitionBy(*by, "key_json").orderBy("pos"))
         rows = rows.withColumn("_falls", F.coalesce(F.col("ordering_value") < before, F.lit(False)))
     if "key_names" in rows.columns:
         rows = rows.withColumn("_violation", first_violation())
@@ -84,7 +84,7 @@ def profile(rows: DataFrame, keyed: bool) -> list:
         broken = F.lit(None).cast("struct<pos:long,violation:string>").alias("broken")
     falls = F.max("_falls") if keyed else F.lit(False)
     spans = [f(c).alias(f"{n}_{c}") for c in (*HOMOGENEOUS, "ordering_value") for n, f in (("min", F.min), ("max", F.max))]
-    return statistics(rows, broken, falls.alias("falls"), *spans)
+    return statistics(rows, broken, falls.alias("falls"), *spans, by=by)
 
 
 def normalize_batch(rows: DataFrame, checkpoint_end: str, checkpoint_start: str | None = None, keyed: bool | None = None) -> Normalized:
@@ -96,7 +96,30 @@ def normalize_batch(rows: DataFrame, checkpoint_end: str, checkpoint_start: str
     if keyed is None:
         first = rows.select("table_mode").first()
         keyed = bool(first) and first["table_mode"] == "keyed_upsert"
-    found = profile(rows, keyed)
+    return _checked(rows.select(*COLUMNS, "pos"), profile(rows, keyed), checkpoint_end, checkpoint_start)
+
+
+def normalize_group(rows: DataFrame, bounds: list[dict], keyed: bool) -> tuple[DataFrame, list[Normalized | None]]:
+    """The same of many batches (as ``normalize_batch`` takes them, and their place among ``bounds`` as batch), by one pass.
+
+    Gives the reduced rows of all, with batch, and for each batch what was found, or None if the batch is wrong.
+    """
+    found: dict[int, list] = {}
+    for r in profile(rows, keyed, ("batch",)):  # three rows at most for each batch
+        found.setdefault(r["batch"], []).append(r)
+    out, normals = rows.select("batch", *COLUMNS, "pos"), []
+    for place, bound in enumerate(bounds):
+        try:
+            normals.append(_checked(out, found.get(place), bound["checkpoint_end"], bound["checkpoint_start"], False))
+        except ContractError:
+            normals.append(None)
+    if set(found) - set(range(len(bounds))):
+        raise ContractError("rows of an unknown file")
+    return latest_by_key(out, ["batch", "key_json"]).select("batch", *COLUMNS, "pos") if keyed else out, normals
+
+
+def _checked(out: DataFrame, found: list | None, checkpoint_end: str, checkpoint_start: str | None, reduce: bool = True) -> Normalized:
+    """What a batch's profile tells; raises ContractError."""
     if not found:
         raise ContractError("batch must not be empty")
     broken = min((tuple(r["broken"]) for r in found if r["broken"]), default=None)
@@ -107,11 +130,11 @@ def normalize_batch(rows: DataFrame, checkpoint_end: str, checkpoint_start: str
     for c in HOMOGENEOUS:
         if low[c] != high[c]:
             raise ContractError(f"{c} mismatch within batch")
-    out = rows.select(*COLUMNS, "pos")
     if low["table_mode"] == "keyed_upsert":
         if any(r["falls"] for r in found):
             raise ContractError("ordering violation quarantine")
-        out = latest_by_key(out, ["key_json"]).select(*COLUMNS, "pos")
+        if reduce:
+            out = latest_by_key(out, ["key_json"]).select(*COLUMNS, "pos")
     return Normalized(
         out, low["table_id"], low["table_mode"], low["source_id"], low["source_class"], low["schema_version"], low["ordering_field"],
         low["ordering_value"], high["ordering_value"], checkpoint_start or checkpoint_end, checkpoint_end, None if low["table_mode"] == "keyed_upsert" else tuple(found),

@@ -6,19 +6,23 @@ import time
 from collections import deque
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 from pyspark.sql import DataFrame
 
 from ..model import BatchManifest, ContractError
 from ..operators.ledger import Ledger
-from ..operators.normalize import Normalized, normalize_batch
+from ..operators.normalize import Normalized, normalize_batch, normalize_group
 from ..operators.sink import CommitRequest, Locator, Outcome, Sink
-from ..operators.writer import WriterConfig, materialize
-from ..sources.jsonl import Batch, Session
+from ..operators.writer import WriterConfig, materialize, materialize_group, place_of
+from ..sources.files import Files
+from ..sources.jsonl import Batch, Group, Session, label_of
 from .gates import Coordinator
 
-#: Batches that are read ahead of the one that is written; so many more are held in memory.
-AHEAD = 2
+#: Groups of batches that are read ahead of the one that is written; so many more are held, in memory or on executors' disks.
+AHEAD = 1
+#: Bytes of the files of a group's batches; a larger file is a group of its own.
+GROUP_BYTES = 256 << 20
 
 
 @dataclass
@@ -42,16 +46,18 @@ def run_session(
 ) -> RunReport:
     """Commit a session's batches in order; each is acknowledged only after its commit is durable in the ledger.
 
-    While a batch is written and committed, the next AHEAD are read and checked already; nothing of them is written before
-    they are admitted, and what is wrong with one is told when its turn comes. The session is closed in any case; if closing
-    fails too, both errors are told.
+    Batches are read, checked and written in groups, so that many small files don't take many small jobs. While a group is
+    committed, the next AHEAD are read and checked already. A group's files are staged when its first batch is admitted, up
+    to the first wrong batch, whose fault is told when its turn comes; nothing of a batch is registered or committed before
+    it is admitted itself, and staged files of batches that never are go. The session is closed in any case; if closing fails
+    too, both errors are told.
     """
     gate = coordinator or Coordinator()
     report = RunReport()
     table = session.selection.table_id
     error: BaseException | None = None
     reading: deque[Future] = deque()
-    begun = 0
+    begun, group = 0, None
     with ThreadPoolExecutor(AHEAD) as beside:
         try:
             while batch_limit is None or report.batches < batch_limit:
@@ -59,22 +65,26 @@ def run_session(
                 if reason:
                     raise ContractError(reason)
                 while len(reading) <= AHEAD and (batch_limit is None or begun < batch_limit):
-                    batch = session.poll_batch()
-                    if batch is None:
+                    polled = session.poll_group(GROUP_BYTES, None if batch_limit is None else batch_limit - begun)
+                    if polled is None:
                         break
-                    reading.append(beside.submit(check_batch, batch))
-                    begun += 1
-                if not reading:
-                    gate.release(table)
-                    break
-                write_batch(reading.popleft().result(), table, sink, ledger, staging, destination, report, gate, actor, config, session.checkpoint)
+                    reading.append(beside.submit(check_group, polled, session))
+                    begun += len(polled.bounds)
+                if group is None or not group.waiting:
+                    if not reading:
+                        gate.release(table)
+                        break
+                    group = reading.popleft().result()
+                write_next(group, session, table, sink, ledger, staging, destination, report, gate, actor, config)
         except BaseException as e:
             error = e
             raise
         finally:
+            if group is not None:
+                group.drop(table, staging)
             for left in reading:
                 if not left.cancel() and left.exception() is None:
-                    left.result().held.unpersist()
+                    left.result().drop(table, staging)
             try:
                 session.close()
             except Exception as closing:
@@ -93,6 +103,68 @@ class Ready:
     normal: Normalized
 
 
+@dataclass
+class ReadyGroup:
+    """Batches that were read and checked together; ``held`` is kept until they are written. ``normals`` has None for a wrong one."""
+
+    bounds: list[dict]
+    normals: list[Normalized | None]
+    held: DataFrame | None
+    reduced: DataFrame | None
+    waiting: deque[int]
+    alone: Ready | None = None
+    manifests: dict[int, BatchManifest] = field(default_factory=dict)
+
+    def write(self, table: str, ledger: Ledger, staging: str, config: WriterConfig) -> None:
+        """Stage the next batch and those after it, up to a wrong one, or one that the ledger knows from an earlier run."""
+        of = {k: (n, f"{table}.{label_of(self.bounds[k])}") for k in self.waiting if (n := self.normals[k]) is not None}
+        first = self.waiting[0]
+        good = takewhile(lambda k: k == first or k in of and ledger.batch_status(place_of(*of[k], staging)[0]) is None, self.waiting)
+        self.manifests |= materialize_group(self.reduced, {k: of[k] for k in good}, staging, config)
+        if not any(k in of and k not in self.manifests for k in self.waiting):
+            self.held.unpersist()
+
+    def drop(self, table: str, staging: str) -> None:
+        """Let go what is held, and the staged files of batches that were not taken."""
+        for held in (self.held, self.alone and self.alone.held):
+            if held is not None:
+                held.unpersist()
+        for k in self.waiting:
+            if k in self.manifests:
+                Files(self.held.sparkSession).delete(place_of(self.normals[k], f"{table}.{label_of(self.bounds[k])}", staging)[1])
+
+
+def check_group(group: Group, session: Session) -> ReadyGroup:
+    """A group's batches decoded once, checked and reduced; a batch that stands alone as ever."""
+    if len(group.bounds) == 1 or not group.table_mode:
+        waiting = deque(range(len(group.bounds)))
+        return ReadyGroup(group.bounds, [None] * len(waiting), None, None, waiting, check_batch(session.batch_of(group.bounds[0])) if len(waiting) == 1 else None)
+    held = group.rows.persist()
+    try:
+        reduced, normals = normalize_group(held, group.bounds, group.table_mode == "keyed_upsert")
+    except BaseException:
+        held.unpersist()
+        raise
+    return ReadyGroup(group.bounds, normals, held, reduced, deque(range(len(normals))))
+
+
+def write_next(
+    group: ReadyGroup, session: Session, table: str, sink: Sink, ledger: Ledger, staging: str, destination: str, report: RunReport, gate: Coordinator, actor: str, config: WriterConfig
+) -> None:
+    """Write and commit a group's next batch, which is admitted."""
+    place = group.waiting[0]
+    if group.normals[place] is None:  # alone, or wrong: then reading it again tells why, by the line
+        ready = group.alone or check_batch(session.batch_of(group.bounds[place]))
+        group.alone = None
+        group.waiting.popleft()
+        write_batch(ready, table, sink, ledger, staging, destination, report, gate, actor, config, session.checkpoint)
+        return
+    if place not in group.manifests:
+        group.write(table, ledger, staging, config)
+    group.waiting.popleft()
+    commit_manifest(group.manifests[place], table, sink, ledger, destination, report, gate, actor, session.checkpoint)
+
+
 def check_batch(batch: Batch) -> Ready:
     """A batch decoded once, checked and reduced."""
     held = batch.rows.persist()
@@ -120,6 +192,13 @@ def write_batch(
         manifest = materialize(ready.normal, f"{table}.{ready.label}", staging, config)
     finally:
         ready.held.unpersist()
+    commit_manifest(manifest, table, sink, ledger, destination, report, gate, actor, acknowledge)
+
+
+def commit_manifest(
+    manifest: BatchManifest, table: str, sink: Sink, ledger: Ledger, destination: str, report: RunReport, gate: Coordinator, actor: str = "millrace", acknowledge=None
+) -> None:
+    """Commit a batch whose files are staged, and acknowledge it once its commit is durable."""
     gate.record_materialized(table)
     ledger.register_batch(manifest)
     ledger.record_files(manifest.batch_id, manifest)

@@ -16,6 +16,7 @@ from millrace.operators.sink import CatalogSink, CommitRequest, FileSink, Locato
 from millrace.operators.writer import WriterConfig, materialize
 from millrace.sources import config as C
 from millrace.sources import jsonl
+from millrace.streaming import connector
 from millrace.streaming.connector import recover, run_session, settle
 from millrace.streaming.gates import Coordinator
 
@@ -331,6 +332,54 @@ def test_keyed_run_and_final_state(spark, workload, tmp_path):
     assert [(r["key_json"], r["after_json"]) for r in state.collect()] == [('{"customer_id":"c1","tenant_id":"t"}', '{"status":"inactive"}')]
 
 
+def many_files(folder, n):
+    folder.mkdir()
+    for i in range(n):
+        rows = [record(10 * i + k, "delete" if k == 4 else "upsert", {"id": k % 3}, None if k == 4 else {"v": i}) for k in range(5)]
+        (folder / f"batch-{i:03d}.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    return folder
+
+
+def told(ledger):
+    return [(m.batch_id, m.record_count, m.op_counts, m.content_hash, m.schema_fingerprint, m.source_checkpoint_start, m.source_checkpoint_end, len(m.file_set)) for m in ledger.manifests()]
+
+
+def test_many_small_files_are_read_and_written_in_groups(spark, tmp_path, monkeypatch):
+    source = jsonl.FileSource(spark, f"file://{many_files(tmp_path / 'customer_state', 7)}")
+    choice, scans, scan, found = jsonl.Selection("customer_state", "customer_state", "keyed_upsert"), [], jsonl.scan, []
+    monkeypatch.setattr(jsonl, "scan", lambda spark, paths: scans.append(len(paths)) or scan(spark, paths))
+    for size, most in ((connector.GROUP_BYTES, [7, 7]), (0, [7] + [1] * 14)):
+        scans.clear()
+        monkeypatch.setattr(connector, "GROUP_BYTES", size)
+        sink, ledger = MemorySink("lose_ack"), Ledger()
+        report = run_session(source.open_capture(choice), sink, ledger, f"file://{tmp_path}/staging-{size}", "mem")
+        assert (report.batches, report.rows, report.files, report.last_checkpoint) == (7, 21, 7, "cp-0064") and len(sink.commits) == 7
+        assert len(scans) <= len(most)
+        files = [f for m in ledger.manifests() for f in m.file_set]
+        rows = [[r["key_json"] for r in spark.read.parquet(f.file_uri).collect()] for f in files]
+        assert rows == [[f'{{"id":{k}}}' for k in range(3)]] * 7
+        assert [f.file_uri.rsplit("/", 2)[1] for f in files] == [f"customer_state.batch-{i:03d}" for i in range(7)]
+        found.append(told(ledger))
+    assert found[0] == found[1]
+
+
+def test_a_wrong_batch_of_a_group_is_told_in_its_turn(spark, tmp_path):
+    folder = many_files(tmp_path / "customer_state", 5)
+    rows = [record(30 + k, "upsert", {"id": k}, {"v": 1}) for k in range(2)] + [record(33, "insert", {"id": 3}, {"v": 1})]
+    (folder / "batch-003.jsonl").write_text("\n\n".join(map(json.dumps, rows)) + "\n")
+    ledger, staging = Ledger(), tmp_path / "staging"
+    session = jsonl.FileSource(spark, f"file://{folder}").open_capture(jsonl.Selection("customer_state", "customer_state", "keyed_upsert"))
+    with pytest.raises(ContractError, match="batch-003.jsonl:5: keyed_upsert requires upsert or delete operations"):
+        run_session(session, MemorySink(), ledger, f"file://{staging}", "mem")
+    assert [m.batch_id[-3:] for m in ledger.manifests()] == ["000", "001", "002"] and session.closed
+    refusing, ledger = Coordinator(), Ledger()
+    refusing.checkpoint_decision = lambda _: "held"  # the run ends at its first batch: staged files of the others go
+    session = jsonl.FileSource(spark, f"file://{folder}").open_capture(jsonl.Selection("customer_state", "customer_state", "keyed_upsert"))
+    with pytest.raises(ContractError, match="held"):
+        run_session(session, MemorySink(), ledger, f"file://{staging}-2", "mem", coordinator=refusing)
+    assert [p.name for p in (tmp_path / "staging-2/customer_state").iterdir()] == ["customer_state.batch-000"]
+
+
 def test_run_that_ended_after_its_commit_does_not_commit_again(spark, workload, tmp_path):
     source = jsonl.FileSource(spark, f"file://{workload}/orders_events")
     choice = jsonl.Selection("orders_events", "orders_events", "append_only")
