@@ -7,8 +7,9 @@ import re
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DatetimeType, NumericType, StringType
 
 from ..functions.hashing import stable_hash_text
 from ..functions.text import sanitize_output_component
@@ -17,6 +18,11 @@ from ..sources.files import Files
 from .reconcile import active_files, compaction_candidates, next_sequence
 from .writer import rows_for_target
 
+#: Bytes of rows in memory that one task sorts for a file; a larger target gives several files.
+SORT_BYTES = 128 << 20
+#: Bytes of a row in memory besides its fields' own: the sort's pointers and prefix, lengths and null bits.
+ROW_BYTES = 40
+
 RECORD = "sequence long, snapshot_id string, removed_files array<string>, added_files array<string>, created_at string"
 
 
@@ -74,8 +80,32 @@ def in_arrival_order(spark: SparkSession, inputs: list[str]) -> DataFrame:
     return rows.join(F.broadcast(places), "_uri").drop("_uri")  # a row for each input file
 
 
+def row_bytes(rows: DataFrame) -> Column:
+    """About the bytes of a row in memory: 8 for each field, and the texts of those that have no fixed width."""
+    wide = [f for f in rows.schema if not isinstance(f.dataType, (NumericType, DatetimeType, BooleanType))]
+    texts = [F.coalesce(F.octet_length(f.name if isinstance(f.dataType, (StringType, BinaryType)) else F.to_json(F.struct(f.name))), F.lit(0)) for f in wide]
+    return sum((t.cast("long") for t in texts), F.lit(8 * len(rows.schema) + ROW_BYTES).cast("long"))
+
+
+def write_ordered(rows: DataFrame, order: list[str], path: str, most: int | None = None) -> None:
+    """Rows in order into files in the order of their names; a task sorts about SORT_BYTES, and a file has ``most`` rows at most."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(rows)).alias("size")).first()
+    n, per_file = found["n"], rows_for_target(SORT_BYTES, (found["size"] or 0) // max(1, found["n"]))
+    per_file = min(per_file, most or per_file)
+    pieces = max(1, -(-n // per_file))
+    ranged = rows.repartitionByRange(pieces, *order) if pieces > 1 else rows.coalesce(1)
+    ranged.sortWithinPartitions(*order).drop("_file", "_row").write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(path)
+
+
+def arrival_numbers(rows: DataFrame) -> DataFrame:
+    """Rows of ``in_arrival_order`` with _arrival, their number from one over all files."""
+    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(counts.select("_file", before.alias("_before"))), "_file").withColumn("_arrival", F.col("_before") + F.col("_row") + 1).drop("_before")  # a row for each file
+
+
 def compact(spark: SparkSession, root: str, table_mode: str, small_bytes: int, most_files: int, target_bytes: int, namespace: str | None = None) -> Report:
-    """Rewrite the first ``most_files`` small active files by URI into files of about ``target_bytes``.
+    """Rewrite the first ``most_files`` small active files by URI into files of about ``target_bytes``, or of what a task can sort.
 
     Rows keep their order of arrival: that of the files' URIs, then that within a file. Fewer than two candidates change nothing. The record is the boundary; the files it removes stay on disk.
     """
@@ -97,9 +127,7 @@ def compact(spark: SparkSession, root: str, table_mode: str, small_bytes: int, m
     snapshot = "compaction-" + stable_hash_text(*inputs)
     out = f"{root}/data/{sanitize_output_component(snapshot)}"
     per_file = rows_for_target(target_bytes, max(1, size // max(1, n)))
-    pieces = max(1, -(-n // per_file))
-    ranged = rows.repartitionByRange(pieces, "_file", "_row") if pieces > 1 else rows.coalesce(1)
-    ranged.sortWithinPartitions("_file", "_row").drop("_file", "_row").write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(out)
+    write_ordered(rows, ["_file", "_row"], out, per_file)
     added = files.glob(f"{out}/*.parquet")
     names = [(p.rsplit("/", 1)[-1],) for p in files.glob(f"{root}/_compactions/*.json")]
     sequence = next_sequence(spark.createDataFrame(names, "name string")).first()["next_sequence"]

@@ -10,6 +10,7 @@ from millrace import cli
 from millrace.functions import hashing, text
 from millrace.model import COLUMNS, BatchManifest, ContractError, ManifestFile
 from millrace.operators import normalize, reconcile, schema_policy, upsert
+from millrace.operators import compaction
 from millrace.operators.compaction import compact
 from millrace.operators.ledger import Ledger
 from millrace.operators.sink import CatalogSink, CommitRequest, FileSink, Locator, MemorySink
@@ -332,6 +333,23 @@ def test_keyed_run_and_final_state(spark, workload, tmp_path):
     assert [(r["key_json"], r["after_json"]) for r in state.collect()] == [('{"customer_id":"c1","tenant_id":"t"}', '{"status":"inactive"}')]
 
 
+def test_compaction_of_more_than_a_task_sorts_keeps_the_order_of_arrival(spark, tmp_path, monkeypatch):
+    root, made = f"file://{tmp_path}/lake", []
+    for k, n in enumerate((700, 0, 300)):
+        spark.range(n).select((F.col("id") * 7919 % 1000).alias("x"), F.lit(f"{k}é").alias("s"), F.array("id").alias("a")).coalesce(1).write.parquet(f"{root}/data/{k}")
+        made += [str(p) for p in sorted((tmp_path / "lake/data" / str(k)).glob("*.parquet"))]
+    (tmp_path / "lake/_snapshots").mkdir()
+    (tmp_path / "lake/_snapshots/snapshot-1").write_text("snapshot_id=snapshot-1\n" + "".join(f"file=file://{x}\n" for x in made))
+    monkeypatch.setattr(compaction, "SORT_BYTES", 10_000)
+    report = compact(spark, root, "append_only", 1 << 40, 100, 1 << 40)
+    left = [r["file_uri"] for r in compaction.current_files(spark, root).collect()]
+    assert (report.rewritten, report.rows, report.added) == (len(made), 1000, len(left)) and len(left) >= 7
+    assert max(spark.read.parquet(x).count() for x in left) <= 160
+    rows = compaction.arrival_numbers(compaction.in_arrival_order(spark, left))
+    got = [(r["_arrival"], r["x"], r["s"], r["a"]) for r in rows.orderBy("_arrival").collect()]
+    assert got == [(i + 1, j * 7919 % 1000, f"{k}é", [j]) for i, (k, j) in enumerate([(0, j) for j in range(700)] + [(2, j) for j in range(300)])]
+
+
 def many_files(folder, n):
     folder.mkdir()
     for i in range(n):
